@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, quality
+from . import decontamination, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
         "op5_decontamination": decontamination.op5_decontamination,
+        "op8_token_counts": token_counts.op8_token_counts,
     }
 
 

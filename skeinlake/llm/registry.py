@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, quality, token_counts
+from . import chat, decontamination, mixing, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,10 +14,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op3_chat_formatting": chat.op3_chat_formatting,
+        "op4_source_mixing": mixing.op4_source_mixing,
         "op5_decontamination": decontamination.op5_decontamination,
         "op8_token_counts": token_counts.op8_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_chat_formatting": chat.OP3_SQL,
+        "op4_source_mixing": mixing.OP4_SQL,
+    }

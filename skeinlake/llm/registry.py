@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, mixing, quality, token_counts
+from . import chat, decontamination, mixing, quality, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op2_warc": warc.op2_warc,
         "op3_chat_formatting": chat.op3_chat_formatting,
         "op4_source_mixing": mixing.op4_source_mixing,
         "op5_decontamination": decontamination.op5_decontamination,
@@ -23,6 +24,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc": warc.OP2_SQL,
         "op3_chat_formatting": chat.OP3_SQL,
         "op4_source_mixing": mixing.OP4_SQL,
     }

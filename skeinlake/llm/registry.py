@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, mixing, quality, token_counts, warc
+from . import chat, decontamination, licenses, mixing, quality, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_chat_formatting": chat.op3_chat_formatting,
         "op4_source_mixing": mixing.op4_source_mixing,
         "op5_decontamination": decontamination.op5_decontamination,
+        "op6_license_scan": licenses.op6_license_scan,
         "op8_token_counts": token_counts.op8_token_counts,
     }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, licenses, line_dedup, mixing, quality, substring_dedup, token_counts, warc
+from . import chat, decontamination, licenses, line_dedup, mixing, near_dedup, quality, substring_dedup, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op4_source_mixing": mixing.op4_source_mixing,
         "op5_decontamination": decontamination.op5_decontamination,
         "op6_license_scan": licenses.op6_license_scan,
+        "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_line_dedup": line_dedup.op10_line_dedup,

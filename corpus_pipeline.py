@@ -1,8 +1,57 @@
-"""Corpus pipeline: stages over documents."""
+"""A training corpus from documents: rules, line dedup, near-dedup, decontamination, mixing.
 
-STAGES: list = []
+STAGES are functions (spark, docs, sf_dir) -> DataFrame; each works on all that
+the one before kept, and all but the last return the columns of documents.
+run() writes each stage's result as Parquet to the shared folder and reads it
+back for the next, so a lost executor costs a stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from skeinlake.llm import decontamination, frames, line_dedup, mixing, near_dedup, quality
+
+#: The trees and the sampling aren't expressible in SQL; the tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule or that the trees score below the threshold go."""
+    return quality.accepted(docs, quality.train(docs, frames.table(spark, sf_dir, "labels")))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines in blocks shared with an earlier document go; every document stays."""
+    return line_dedup.cleaned(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) one document stays."""
+    return near_dedup.kept(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    return decontamination.decontaminate(docs, frames.table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of the documents that the mix takes."""
+    return mixing.mix(docs).where("copies > 0")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup_stage),
+    ("minhash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("source mixing", mixing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = frames.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = frames.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -109,8 +109,9 @@ def errors(r: Column, **how) -> Column:
     return let(r, lambda x: _errors(x, **how))
 
 
-def _errors(r: Column, private_title: Column = F.lit(False), private_tags: Column = F.lit(False), expected_id: Column | None = None, minimum: Column | None = None, expected_risks: Column | None = None, must_review: Column = F.lit(False), required: Column | None = None) -> Column:
+def _errors(r: Column, private_title: Column | None = None, private_tags: Column | None = None, expected_id: Column | None = None, minimum: Column | None = None, expected_risks: Column | None = None, must_review: Column | None = None, required: Column | None = None) -> Column:
     """private_title, private_tags: whether the privacy detectors find something in them."""
+    private_title, private_tags, must_review = (F.lit(False) if c is None else c for c in (private_title, private_tags, must_review))
     no = lambda c: F.coalesce(c, F.lit(False))  # noqa: E731  a null comparison isn't true
     among = lambda c, names: no(c.isin(*names))
     all_among = lambda a, names: no(F.forall(a, lambda x: x.isin(*names)))

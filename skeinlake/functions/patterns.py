@@ -35,7 +35,7 @@ SECRETS = (
     Detector(
         "API_KEY",
         EDGE + "(?:sk-[A-Za-z0-9_-]{16,}|A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{16,}|npm_[A-Za-z0-9]{20,}|hf_[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{30,}|(?:sk|rk)_live_[A-Za-z0-9]{16,}|xox[baprs]-[A-Za-z0-9-]{10,})" + EDGE,
-        ("sk-", "AKIA", "ASIA", "gh", "glpat-", "npm_", "hf_", "AIza", "sk_live_", "rk_live_", "xox"), folded=False,
+        ("sk-", "AKIA", "ASIA", "gh", "github_pat_", "glpat-", "npm_", "hf_", "AIza", "sk_live_", "rk_live_", "xox"), folded=False,
     ),
     Detector("ACCESS_TOKEN", f"(?iu){EDGE}(?:Bearer[{SPACE}]+[A-Za-z0-9._~+/=-]{{12,}}|Basic[{SPACE}]+[A-Za-z0-9+/]{{8,}}={{0,2}})", ("bearer", "basic")),
     Detector(

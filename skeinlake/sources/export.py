@@ -263,6 +263,11 @@ ITEMS = "path string, item_index long, raw string, run_error string"
 
 
 def items(spark: SparkSession, path: str) -> DataFrame:
+    """The items of the export files at path; see split_files."""
+    return split_files(spark.read.format("binaryFile").load(path))
+
+
+def split_files(files: DataFrame) -> DataFrame:
     """path, item_index and raw of every array element of the files; a row with run_error and a null index where a file ends a run."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -292,8 +297,7 @@ def items(spark: SparkSession, path: str) -> DataFrame:
                 if held:
                     yield pd.DataFrame(held, columns=columns).astype({"item_index": "Int64"})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, ITEMS)
+    return files.select("path", "content").mapInPandas(run, ITEMS)
 
 
 def _first_fits(raw: str) -> bool:

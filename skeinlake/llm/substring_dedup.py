@@ -35,10 +35,11 @@ from . import frames, textcore
 
 WINDOW, SEED = 13, 3
 #: Text that a task looks through by itself before it sends, and text for each reference block.
-OWN_BYTES, BLOCK_BYTES = 16 << 20, 8 << 20
+OWN_BYTES, BLOCK_BYTES = 8 << 20, 8 << 20
 LAST = (1 << 63) - 1
 
 RUN = np.dtype([("start", "<i4"), ("n", "<i4"), ("source", "<i8"), ("place", "<i4")])
+DOC_RUN = np.dtype([("ord", "<i8"), ("th", "<i4"), ("run", RUN)])
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -179,25 +180,59 @@ def _unpacked(n: int, data: memoryview) -> tuple[np.ndarray, ...]:
     return seed[run], rest.view(np.uint64).ravel(), order[run], th[run], start[run] + step.astype(np.int32)
 
 
-def answers(table: pa.Table) -> pa.Table:
-    """A reference block's answers to all windows that were sent to it, and the answers that tasks gave themselves."""
+def _packed(order: np.ndarray, th: np.ndarray, runs: np.ndarray, groups: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """A reference block's answers by the part of the documents that they are for. groups: where each document's begin."""
+    if not len(groups):
+        return
+    size = np.diff(np.append(groups, len(runs)))
+    part = _part(order, parts)
+    by = np.argsort(part, kind="stable")
+    edges = np.flatnonzero(np.append(True, part[by][1:] != part[by][:-1]))
+    for a, b in zip(edges, np.append(edges[1:], len(by)), strict=True):
+        d = by[a:b]
+        n = size[d]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - groups[d], n)
+        out = np.zeros(len(at), DOC_RUN)
+        out["ord"], out["th"], out["run"] = np.repeat(order[d], n), np.repeat(th[d], n), runs[at]
+        yield int(part[d[0]]), out.tobytes()
+
+
+def _part(order: np.ndarray, parts: int) -> np.ndarray:
+    return (textcore.mix(order.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def answers(table: pa.Table, parts: int) -> pa.Table:
+    """A reference block's answers to all windows that were sent to it, and the answers that tasks gave themselves:
+    a packed value for each part of the documents."""
     table = table.combine_chunks()
+    out: dict[int, list[bytes]] = {}
     local = table.filter(pa.compute.equal(table["n"], 0))
-    out = [pa.Table.from_arrays([local["ord"], local["th"], local["data"]], schema=ANSWER)]
+    if local.num_rows:
+        sizes = np.array([len(d.as_buffer()) for d in local["data"]]) // RUN.itemsize
+        runs = np.frombuffer(b"".join(local["data"].to_pylist()), RUN)
+        for k, blob in _packed(local["ord"].to_numpy(), local["th"].to_numpy(), runs, np.cumsum(sizes) - sizes, parts):
+            out.setdefault(k, []).append(blob)
     sent = table.filter(pa.compute.greater(table["n"], 0))
     if sent.num_rows:
-        parts = [_unpacked(n.as_py(), memoryview(d.as_buffer())) for n, d in zip(sent["n"], sent["data"], strict=True)]
-        seed, rest, order, th, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        unpacked = [_unpacked(n.as_py(), memoryview(d.as_buffer())) for n, d in zip(sent["n"], sent["data"], strict=True)]
+        seed, rest, order, th, start = (np.concatenate(x) for x in zip(*unpacked, strict=True))
         later, source = sources(seed, rest, order)
         at = np.flatnonzero(later)
         if len(at):
             key = np.ones(len(at), np.int64)
             key[1:] = (order[at[1:]] != order[at[:-1]]) | (th[at[1:]] != th[at[:-1]])
             runs, of = _runs(np.cumsum(key), start[at], order[source[at]], start[source[at]])
-            groups = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
             first = at[np.flatnonzero(key)]
-            out.append(pa.Table.from_arrays([pa.array(order[first]), pa.array(th[first]), _binary(runs, groups)], schema=ANSWER))
-    return pa.concat_tables(out)
+            for k, blob in _packed(order[first], th[first], runs, np.flatnonzero(np.append(True, of[1:] != of[:-1])), parts):
+                out.setdefault(k, []).append(blob)
+    return pa.table({"part": pa.array(list(out), pa.int64()), "data": pa.array([b"".join(v) for v in out.values()], pa.binary())})
+
+
+def merged(table: pa.Table) -> pa.Table:
+    """All answers for a part of the documents: a row for each document."""
+    runs = np.unique(np.frombuffer(b"".join(table["data"].to_pylist()), DOC_RUN))
+    first = np.flatnonzero(np.append(True, (runs["ord"][1:] != runs["ord"][:-1]) | (runs["th"][1:] != runs["th"][:-1]))) if len(runs) else np.zeros(0, np.int64)
+    return pa.Table.from_arrays([pa.array(runs["ord"][first]), pa.array(runs["th"][first]), _binary(np.ascontiguousarray(runs["run"]), first)], schema=ANSWER)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -205,7 +240,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def found(docs: DataFrame, window: int = WINDOW, seed: int = SEED, own_bytes: int = OWN_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """ord, th and runs (a list of packed RUNs) of each document that has windows with a smaller source."""
+    """ord, th and runs (packed RUNs) of each document that has windows with a smaller source."""
     spark = frames.ready(docs.sparkSession)
     keyed = _keyed(docs).where("text IS NOT NULL")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -221,13 +256,14 @@ def found(docs: DataFrame, window: int = WINDOW, seed: int = SEED, own_bytes: in
         yield from own.send()
 
     sent = keyed.mapInArrow(send, "bucket long, n long, data binary, ord long, th int")
-    given = sent.groupBy("bucket").applyInArrow(answers, "ord long, th int, runs binary")
-    return given.groupBy("ord", "th").agg(F.collect_list("runs").alias("runs"))
+    parts = min(blocks, frames.partitions(spark))
+    given = sent.groupBy("bucket").applyInArrow(lambda t: answers(t, parts), "part long, data binary")
+    return given.groupBy("part").applyInArrow(merged, "ord long, th int, runs binary")
 
 
-def factors(packed: list[bytes]) -> np.ndarray:
+def factors(packed: bytes) -> np.ndarray:
     """RUNs of one document in order; runs that continue each other's source are one factor."""
-    runs = np.unique(np.frombuffer(b"".join(packed), RUN))
+    runs = np.unique(np.frombuffer(packed, RUN))
     if not len(runs):
         return runs
     new = np.ones(len(runs), bool)

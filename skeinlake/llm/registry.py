@@ -31,4 +31,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc": warc.OP2_SQL,
         "op3_chat_formatting": chat.OP3_SQL,
         "op4_source_mixing": mixing.OP4_SQL,
+        "op5_decontamination": decontamination.OP5_SQL,
+        "op7_minhash_near_dedup": near_dedup.OP7_SQL,
+        "op9_substring_dedup": substring_dedup.OP9_SQL,
     }

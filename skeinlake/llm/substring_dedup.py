@@ -312,4 +312,15 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED, texts:
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
     d = deduplicated(frames.table(spark, sf_dir, "documents"), texts=False)
-    return d.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("factors").cast("long").alias("n_factors"))
+    return d.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS m FROM x GROUP BY s),
+h AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM x JOIN f ON x.s = f.s WHERE m < doc_id),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT p.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p.i) AS kept FROM p ANTI JOIN h ON p.doc_id = h.doc_id AND p.i = h.i GROUP BY p.doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""

@@ -2,11 +2,13 @@
 
 A line of at least ``min_words`` words that stands once in its document is a rare
 line there. Every rare line's fingerprint leads to the first document that has
-it, and the two documents become a pair: a document has at most as many partners
-as rare lines, however many documents share a line, and no line is too frequent
-to count. Each pair is aligned by patience diff over the line fingerprints, and
-aligned common blocks of at least ``block_words`` words are deleted from the later
-document. All alignments are made on the documents as they came in.
+it, and the two documents become a pair. Each pair is aligned by patience diff
+over the line fingerprints, and aligned common blocks of at least ``block_words``
+words are deleted from the later document. Shared lines that no alignment deleted
+go on to their next earlier holders, in rounds that each try ``STEP`` times as
+many, until every such line is deleted or has no holder left: the result is that
+of aligning all pairs, and no line is too frequent to count. Documents of equal
+lines are one holder. All alignments are made on the documents as they came in.
 
 Documents are ordered by id, a null id last, then by text fingerprint. Cases: a
 null text has no lines and stays null; lines without a word never pair documents
@@ -22,13 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import frames, textcore
 
 MIN_WORDS, BLOCK_WORDS = 3, 5
 LAST = (1 << 63) - 1
+#: Each round tries so many times the holders of the one before.
+STEP = 8
 
 
 def _lines(texts: pa.Array) -> tuple[textcore.Spans, np.ndarray, np.ndarray]:
@@ -105,23 +109,46 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return frames.ids(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.xxhash64("text").alias("th"), "text").where("text IS NOT NULL")
 
 
+def _found(lines: textcore.Spans, h: np.ndarray, n: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rare lines: their fingerprints, first lines and lengths in lines."""
+    order = np.lexsort((h, lines.row))
+    same = (h[order[1:]] == h[order[:-1]]) & (lines.row[order[1:]] == lines.row[order[:-1]])
+    once = np.ones(len(h), bool)
+    once[order[1:][same]] = once[order[:-1][same]] = False
+    pick = np.flatnonzero(once & (n >= min_words))
+    return h[pick], pick, np.ones(len(pick), np.int64)
+
+
+def _whole(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A fingerprint of each row's sequence of lines."""
+    place = np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(textcore.mix(h.view(np.uint64) + textcore.mix(place.astype(np.uint64) + np.uint64(1))), out=total[1:])
+    return (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
+
+
+def _open(blocks: list[dict[str, int]], gone: list[int]) -> list[dict[str, int]]:
+    """Those blocks of which a line isn't gone; gone is in order."""
+    at, size = (np.array([b[c] for b in blocks], np.int64) for c in ("at", "size"))
+    return [blocks[k] for k in np.flatnonzero(np.searchsorted(gone, at + size) - np.searchsorted(gone, at) < size)]
+
+
 def removals(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """ord, th and lines: the numbers, among lines that aren't empty, of each document's lines to delete."""
     keyed = _keyed(docs)
-    flat = pa.schema([("ord", pa.int64()), ("th", pa.int64()), ("line", pa.int64())])
+    flat = pa.schema([("ord", pa.int64()), ("th", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
     whole = pa.schema([("ord", pa.int64()), ("th", pa.int64()), ("seq", pa.list_(pa.int64())), ("words", pa.list_(pa.int32()))])
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in textcore.slices(b, "text"):
                 lines, h, n = _lines(part.column("text"))
-                order = np.lexsort((h, lines.row))
-                same = (h[order[1:]] == h[order[:-1]]) & (lines.row[order[1:]] == lines.row[order[:-1]])
-                once = np.ones(len(h), bool)
-                once[order[1:][same]] = once[order[:-1][same]] = False
-                pick = np.flatnonzero(once & (n >= min_words))
-                row = pa.array(lines.row[pick])
-                yield frames.batch(flat, ord=part.column("ord").take(row), th=part.column("th").take(row), line=h[pick])
+                bounds = lines.bounds()
+                key, at, size = _found(lines, h, n, min_words)
+                row = lines.row[at]
+                s1, s2 = _whole(h, bounds), _whole(lines.hashes(1).view(np.int64), bounds)
+                take = pa.array(row)
+                yield frames.batch(flat, ord=part.column("ord").take(take), th=part.column("th").take(take), s1=s1[row], s2=s2[row], key=key, at=at - bounds[row], size=size)
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,24 +157,52 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLO
                 at = pa.array(lines.bounds().astype(np.int32))
                 yield frames.batch(whole, ord=part.column("ord"), th=part.column("th"), seq=pa.ListArray.from_arrays(at, pa.array(h)), words=pa.ListArray.from_arrays(at, pa.array(n.astype(np.int32))))
 
-    lines = frames.stored(keyed.mapInArrow(rare, "ord long, th long, line long"), "lines")
     me = F.struct("ord", "th")
-    first = lines.groupBy("line").agg(F.min(me).alias("first"), F.max(me).alias("other")).where("first < other").select("line", "first")
-    pairs = lines.join(first, "line").where(F.col("first") < me).select(F.col("first.ord").alias("a_ord"), F.col("first.th").alias("a_th"), "ord", "th").distinct()
-    pairs = frames.stored(pairs, "line-pairs")
-    in_pairs = pairs.select("ord", "th").unionByName(pairs.select(F.col("a_ord").alias("ord"), F.col("a_th").alias("th"))).distinct()
-    seqs = frames.stored(keyed.mapInArrow(sequences, "ord long, th long, seq array<long>, words array<int>").dropDuplicates(["ord", "th"]).join(in_pairs, ["ord", "th"], "left_semi"), "line-sequences")
+    blocks = frames.stored(keyed.mapInArrow(keys, "ord long, th long, s1 long, s2 long, key long, at int, size int"), "line-keys")
+    first = blocks.groupBy("key").agg(F.min(me).alias("a"), F.max(me).alias("other")).where("a < other").select("key", "a")
+    held = frames.stored(blocks.join(first, "key").select("ord", "th", "s1", "s2", "key", "at", "size", "a"), "line-shared")
+    involved = held.select("ord", "th").distinct()
+    seqs = frames.stored(keyed.mapInArrow(sequences, "ord long, th long, seq array<long>, words array<int>").dropDuplicates(["ord", "th"]).join(involved, ["ord", "th"], "left_semi"), "line-sequences")
     a = seqs.select(F.col("ord").alias("a_ord"), F.col("th").alias("a_th"), F.col("seq").alias("a_seq"))
-    both = pairs.join(seqs, ["ord", "th"]).join(a, ["a_ord", "a_th"]).select("ord", "th", "seq", "words", "a_seq")
     result = pa.schema([("ord", pa.int64()), ("th", pa.int64()), ("lines", pa.list_(pa.int32()))])
+    block = pa.struct([("key", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
+    waiting = pa.schema([("ord", pa.int64()), ("th", pa.int64()), ("gone", pa.list_(pa.int32())), ("blocks", pa.list_(block))])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [deleted(x.as_py(), y.as_py(), w.as_py(), block_words) for x, y, w in zip(b.column("a_seq"), b.column("seq"), b.column("words"), strict=True)]
             out = frames.batch(result, ord=b.column("ord"), th=b.column("th"), lines=pa.array(found, result.field("lines").type))
-            yield out.filter(pa.array([bool(x) for x in found]))
+            yield out.filter(pa.array([bool(x) for x in found], pa.bool_()))
 
-    gone = both.mapInArrow(align, "ord long, th long, lines array<int>")
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = [sorted({*x.as_py(), *(y.as_py() or ())}) for x, y in zip(b.column("gone"), b.column("lines"), strict=True)]
+            still = [_open(x.as_py(), g) for x, g in zip(b.column("blocks"), gone, strict=True)]
+            out = frames.batch(waiting, ord=b.column("ord"), th=b.column("th"), gone=pa.array(gone, waiting.field("gone").type), blocks=pa.array(still, waiting.field("blocks").type))
+            yield out.filter(pa.array([bool(x) for x in still], pa.bool_()))
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(seqs, ["ord", "th"]).join(a, ["a_ord", "a_th"]).select("ord", "th", "seq", "words", "a_seq")
+        gone = both.mapInArrow(align, "ord long, th long, lines array<int>")
+        return frames.stored(gone.groupBy("ord", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines")), "line-gone")
+
+    later = held.where(F.col("a") < me)
+    pair = [F.col("a.ord").alias("a_ord"), F.col("a.th").alias("a_th"), "ord", "th"]
+    gone = found = aligned(later.select(*pair).distinct())
+    wait = later.groupBy("ord", "th").agg(F.collect_set(F.struct("key", "at", "size")).alias("blocks")).withColumn("gone", F.array().cast("array<int>"))
+    tried, more = 1, STEP
+    while True:
+        wait = wait.join(found, ["ord", "th"], "left").mapInArrow(left, "ord long, th long, gone array<int>, blocks array<struct<key:bigint,at:int,size:int>>")
+        wait = frames.stored(wait, "line-waiting")
+        ask = wait.select("ord", "th", F.explode(F.array_distinct(F.col("blocks.key"))).alias("key"))
+        holders = held.join(ask.select("key").distinct(), "key", "left_semi").groupBy("key", "s1", "s2").agg(F.min(me).alias("a"))
+        ranked = holders.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("a"))).where(F.col("rank") <= tried + more).where(F.col("rank") > tried)
+        pairs = frames.stored(ask.join(ranked, "key").where(F.col("a") < me).select(*pair).distinct(), "line-pairs")
+        if pairs.isEmpty():
+            break
+        found = aligned(pairs)
+        gone = gone.unionByName(found)
+        tried, more = tried + more, more * STEP
     return gone.groupBy("ord", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
 
 

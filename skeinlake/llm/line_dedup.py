@@ -1,14 +1,17 @@
 """Line dedup by pairwise alignment.
 
-A line of at least ``min_words`` words that stands once in its document is a rare
-line there. Every rare line's fingerprint leads to the first document that has
-it, and the two documents become a pair. Each pair is aligned by patience diff
-over the line fingerprints, and aligned common blocks of at least ``block_words``
-words are deleted from the later document. Shared lines that no alignment deleted
+The candidate keys of a document are its shortest blocks of neighbouring lines
+that reach ``block_words`` words, from each line on and up to each line: single
+long lines and runs of short ones, repeated in the document or not. What a longer
+block holds is covered by them. Every key leads to the first document that has it,
+and the two documents become a pair. Each pair is aligned by patience diff over
+the line fingerprints, and aligned common blocks of at least ``block_words`` words
+are deleted from the later document. Shared blocks that no alignment deleted
 go on to their next earlier holders, in rounds that each try ``STEP`` times as
-many, until every such line is deleted or has no holder left: the result is that
+many, until every such block is deleted or has no holder left: the result is that
 of aligning all pairs, and no line is too frequent to count. Documents of equal
 lines are one holder. All alignments are made on the documents as they came in.
+``min_words`` of a line no longer decides anything.
 
 Documents are ordered by id, a null id last, then by text fingerprint. Cases: a
 null text has no lines and stays null; lines without a word never pair documents
@@ -109,14 +112,26 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return frames.ids(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.xxhash64("text").alias("th"), "text").where("text IS NOT NULL")
 
 
-def _found(lines: textcore.Spans, h: np.ndarray, n: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rare lines: their fingerprints, first lines and lengths in lines."""
-    order = np.lexsort((h, lines.row))
-    same = (h[order[1:]] == h[order[:-1]]) & (lines.row[order[1:]] == lines.row[order[:-1]])
-    once = np.ones(len(h), bool)
-    once[order[1:][same]] = once[order[:-1][same]] = False
-    pick = np.flatnonzero(once & (n >= min_words))
-    return h[pick], pick, np.ones(len(pick), np.int64)
+def _found(lines: textcore.Spans, h: np.ndarray, n: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shortest blocks of lines with ``block_words`` words from each line on and up to each line: fingerprints,
+    first lines and lengths in lines. They cover every line of every longer block."""
+    size = len(h)
+    bounds = lines.bounds()
+    words = np.concatenate(([0], np.cumsum(n)))
+    every = np.arange(size)
+    to = np.searchsorted(words, words[:-1] + block_words)
+    ahead = to <= bounds[lines.row + 1]
+    since = np.searchsorted(words, words[1:] - block_words, "right") - 1
+    behind = since >= bounds[lines.row]
+    at, end = np.concatenate((every[ahead], since[behind])), np.concatenate((to[ahead], every[behind] + 1))
+    at, end = np.divmod(np.unique(at * (size + 1) + end), size + 1)
+    base = 0x9E3779B97F4A7C15
+    up, down = np.full((2, size + 1), [[base], [pow(base, -1, 1 << 64)]], np.uint64)
+    up[0] = down[0] = 1
+    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    total = np.zeros(size + 1, np.uint64)
+    np.cumsum(h.view(np.uint64) * up[:-1], out=total[1:])
+    return textcore.mix((total[end] - total[at]) * down[at] + (end - at).astype(np.uint64)).view(np.int64), at, end - at
 
 
 def _whole(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -144,7 +159,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLO
             for part in textcore.slices(b, "text"):
                 lines, h, n = _lines(part.column("text"))
                 bounds = lines.bounds()
-                key, at, size = _found(lines, h, n, min_words)
+                key, at, size = _found(lines, h, n, block_words)
                 row = lines.row[at]
                 s1, s2 = _whole(h, bounds), _whole(lines.hashes(1).view(np.int64), bounds)
                 take = pa.array(row)

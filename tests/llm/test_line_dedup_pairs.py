@@ -1,3 +1,4 @@
+import random
 import re
 
 from skeinlake.llm import line_dedup as L
@@ -23,3 +24,20 @@ def test_later_holders(spark):
     want = every_pair(texts)
     assert want[-1] == "z"
     assert cleaned(spark, texts) == want
+
+
+def test_repeated_and_short_lines(spark):
+    line = "a passage of over five words"
+    short = "\n".join(f"w{i}" for i in range(8))
+    pasted = "\n".join(["this text stands here", "and was pasted twice"] * 2)
+    texts = [f"x\n{line}\ny\n{line}\nz", f"x\n{line}\nu\n{line}\nz", short, f"k\n{short}", pasted, pasted, f"q\n \n{line}\n\t\nw3\nw4\nw5\nw6\nw7", "a b\nc\nd e", "c\na b\nc\nd e\n"]
+    want = every_pair(texts)
+    assert want[1] == "u" and want[3] == "k" and want[5] == ""
+    assert cleaned(spark, texts) == want
+
+
+def test_random(spark):
+    rng = random.Random(11)
+    pool = ["a b c d e f", "one two three", "g h", " ", "\t", "i", "j", "four words are here", "k l m n o p q"]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.choice([2, 5, 9, 25]))) for _ in range(120)]
+    assert cleaned(spark, texts) == every_pair(texts)

@@ -5,7 +5,7 @@ that reach ``block_words`` words, from each line on and up to each line: single
 long lines and runs of short ones, repeated in the document or not. What a longer
 block holds is covered by them. Every key leads to the first document that has it,
 and the two documents become a pair. Each pair is aligned by patience diff over
-the line fingerprints, and aligned common blocks of at least ``block_words`` words
+two fingerprints of each line, and aligned common blocks of at least ``block_words`` words
 are deleted from the later document. Shared blocks that no alignment deleted
 go on to their next earlier holders, in rounds that each try ``STEP`` times as
 many, until every such block is deleted or has no holder left: the result is that
@@ -142,6 +142,11 @@ def _whole(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
 
 
+def twofold(seqs: pa.Array, seqs2: pa.Array) -> list[list[tuple[int, int]]]:
+    """Each line as both of its fingerprints: lines that differ in one never align."""
+    return [list(zip(x, y, strict=True)) for x, y in zip(seqs.to_pylist(), seqs2.to_pylist(), strict=True)]
+
+
 def _open(blocks: list[dict[str, int]], gone: list[int]) -> list[dict[str, int]]:
     """Those blocks of which a line isn't gone; gone is in order."""
     at, size = (np.array([b[c] for b in blocks], np.int64) for c in ("at", "size"))
@@ -152,7 +157,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLO
     """ord, th and lines: the numbers, among lines that aren't empty, of each document's lines to delete."""
     keyed = _keyed(docs)
     flat = pa.schema([("ord", pa.int64()), ("th", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
-    whole = pa.schema([("ord", pa.int64()), ("th", pa.int64()), ("seq", pa.list_(pa.int64())), ("words", pa.list_(pa.int32()))])
+    whole = pa.schema([("ord", pa.int64()), ("th", pa.int64()), ("seq", pa.list_(pa.int64())), ("seq2", pa.list_(pa.int64())), ("words", pa.list_(pa.int32()))])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,22 +175,23 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLO
             for part in textcore.slices(b, "text"):
                 lines, h, n = _lines(part.column("text"))
                 at = pa.array(lines.bounds().astype(np.int32))
-                yield frames.batch(whole, ord=part.column("ord"), th=part.column("th"), seq=pa.ListArray.from_arrays(at, pa.array(h)), words=pa.ListArray.from_arrays(at, pa.array(n.astype(np.int32))))
+                yield frames.batch(whole, ord=part.column("ord"), th=part.column("th"), seq=pa.ListArray.from_arrays(at, pa.array(h)), seq2=pa.ListArray.from_arrays(at, pa.array(lines.hashes(1).view(np.int64))), words=pa.ListArray.from_arrays(at, pa.array(n.astype(np.int32))))
 
     me = F.struct("ord", "th")
     blocks = frames.stored(keyed.mapInArrow(keys, "ord long, th long, s1 long, s2 long, key long, at int, size int"), "line-keys")
     first = blocks.groupBy("key").agg(F.min(me).alias("a"), F.max(me).alias("other")).where("a < other").select("key", "a")
     held = frames.stored(blocks.join(first, "key").select("ord", "th", "s1", "s2", "key", "at", "size", "a"), "line-shared")
     involved = held.select("ord", "th").distinct()
-    seqs = frames.stored(keyed.mapInArrow(sequences, "ord long, th long, seq array<long>, words array<int>").dropDuplicates(["ord", "th"]).join(involved, ["ord", "th"], "left_semi"), "line-sequences")
-    a = seqs.select(F.col("ord").alias("a_ord"), F.col("th").alias("a_th"), F.col("seq").alias("a_seq"))
+    seqs = frames.stored(keyed.mapInArrow(sequences, "ord long, th long, seq array<long>, seq2 array<long>, words array<int>").dropDuplicates(["ord", "th"]).join(involved, ["ord", "th"], "left_semi"), "line-sequences")
+    a = seqs.select(F.col("ord").alias("a_ord"), F.col("th").alias("a_th"), F.col("seq").alias("a_seq"), F.col("seq2").alias("a_seq2"))
     result = pa.schema([("ord", pa.int64()), ("th", pa.int64()), ("lines", pa.list_(pa.int32()))])
     block = pa.struct([("key", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
     waiting = pa.schema([("ord", pa.int64()), ("th", pa.int64()), ("gone", pa.list_(pa.int32())), ("blocks", pa.list_(block))])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [deleted(x.as_py(), y.as_py(), w.as_py(), block_words) for x, y, w in zip(b.column("a_seq"), b.column("seq"), b.column("words"), strict=True)]
+            x, y = (twofold(b.column(c), b.column(f"{c}2")) for c in ("a_seq", "seq"))
+            found = [deleted(*z, block_words) for z in zip(x, y, b.column("words").to_pylist(), strict=True)]
             out = frames.batch(result, ord=b.column("ord"), th=b.column("th"), lines=pa.array(found, result.field("lines").type))
             yield out.filter(pa.array([bool(x) for x in found], pa.bool_()))
 
@@ -197,7 +203,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLO
             yield out.filter(pa.array([bool(x) for x in still], pa.bool_()))
 
     def aligned(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(seqs, ["ord", "th"]).join(a, ["a_ord", "a_th"]).select("ord", "th", "seq", "words", "a_seq")
+        both = pairs.join(seqs, ["ord", "th"]).join(a, ["a_ord", "a_th"]).select("ord", "th", "seq", "seq2", "words", "a_seq", "a_seq2")
         gone = both.mapInArrow(align, "ord long, th long, lines array<int>")
         return frames.stored(gone.groupBy("ord", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines")), "line-gone")
 

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from skeinlake.llm import line_dedup as L
 
 
@@ -41,3 +43,14 @@ def test_random(spark):
     pool = ["a b c d e f", "one two three", "g h", " ", "\t", "i", "j", "four words are here", "k l m n o p q"]
     texts = ["\n".join(rng.choice(pool) for _ in range(rng.choice([2, 5, 9, 25]))) for _ in range(120)]
     assert cleaned(spark, texts) == every_pair(texts)
+
+
+def test_collision(monkeypatch):
+    """Lines whose first fingerprints are equal are still other lines."""
+    monkeypatch.setattr(L, "_lines", lambda texts, real=L._lines: (lambda s, h, n: (s, h * 0, n))(*real(texts)))
+    texts = pa.array(["five words are in here", "other words are in here"])
+    lines, h, _ = L._lines(texts)
+    assert h[0] == h[1]
+    a, b = (pa.array([[x]]) for x in h), (pa.array([[x]]) for x in lines.hashes(1).view("int64"))
+    x, y = (L.twofold(p, q)[0] for p, q in zip(a, b))
+    assert L.deleted(x, x, [5], L.BLOCK_WORDS) == [0] and L.deleted(x, y, [5], L.BLOCK_WORDS) == []

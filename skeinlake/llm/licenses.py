@@ -2,8 +2,9 @@
 
 Fingerprints of all rolling k-word grams of all documents are joined to the
 positions they have in the templates; each match votes for the diagonal document
-position minus template position. Neighbouring diagonals (a few words inserted
-or left out) are merged to spans, and spans with enough votes are verified
+position minus template position. Neighbouring diagonals (up to a fifth of the
+template's words inserted or left out) are merged to spans, and spans with as many
+votes as replaced words can leave (``limits``) are verified
 against the words themselves: a phrase must stand there word for word, a longer
 template to the share ``VERIFIED`` of its words in order. Phrases are templates
 like the others, without slack. Templates are a fixed list, so the side that is
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from . import frames, textcore
 
 K = 3
-VOTES, VERIFIED = 0.5, 0.8
+VERIFIED = 0.8
 
 #: Phrases whose every place counts, and their labels.
 PHRASES = (
@@ -111,11 +112,22 @@ def _holding(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, keyed.schema)
 
 
+def limits(n_words: int, phrase: bool) -> tuple[int, int]:
+    """Words between neighbouring diagonals of one span, and the least votes: a replaced word takes up to K grams, so
+    no text is refuted that lost as many words as VERIFIED lets it."""
+    grams = max(1, n_words - K + 1)
+    if phrase:
+        return 0, grams
+    lost = n_words * round(10 - 10 * VERIFIED)
+    return -(-lost // 10), max(1, grams - K * (lost // 10))
+
+
 def voted(spark: SparkSession, keyed: DataFrame) -> DataFrame:
-    """doc_id, th, template, first, last (words) and votes of each span of merged diagonals with enough votes."""
-    info = [(n, len(words) // 8, 1.0 if phrase else VOTES * 1.0, max(1, len(words) - K + 1)) for n, _, words, phrase in _templates()]
+    """doc_id, th, template, first, last (words) and votes of each span of merged diagonals with enough votes; and
+    begin and end, where the whole template would stand by the span's diagonals."""
+    info = [(n, len(words), *limits(len(words), phrase)) for n, _, words, phrase in _templates()]
     places = F.broadcast(spark.createDataFrame(template_grams(), "gram long, template int, tpos int"))
-    about = F.broadcast(spark.createDataFrame(info, "template int, slack int, share double, n_grams int"))
+    about = F.broadcast(spark.createDataFrame(info, "template int, length int, slack int, least int"))
     hits = grams(keyed).join(places, "gram").select("doc_id", "th", "template", (F.col("pos") - F.col("tpos")).alias("diagonal"), "tpos").distinct()
     diagonals = hits.groupBy("doc_id", "th", "template", "diagonal").agg(F.count("*").alias("votes"), F.min("tpos").alias("low"), F.max("tpos").alias("high"))
     order = Window.partitionBy("doc_id", "th", "template").orderBy("diagonal")
@@ -123,9 +135,9 @@ def voted(spark: SparkSession, keyed: DataFrame) -> DataFrame:
     runs = diagonals.join(about, "template").withColumn("new", apart.cast("int")).withColumn("run", F.sum("new").over(order))
     merged = runs.groupBy("doc_id", "th", "template", "run").agg(
         F.sum("votes").alias("votes"), F.min(F.col("diagonal") + F.col("low")).alias("first"), (F.max(F.col("diagonal") + F.col("high")) + K).alias("last"),
-        F.first("share").alias("share"), F.first("n_grams").alias("n_grams"),
+        F.greatest(F.min("diagonal"), F.lit(0)).alias("begin"), (F.max("diagonal") + F.first("length")).alias("end"), F.first("least").alias("least"),
     )
-    return merged.where(F.col("votes") >= F.col("share") * F.col("n_grams")).drop("run", "share", "n_grams")
+    return merged.where(F.col("votes") >= F.col("least")).drop("run", "least")
 
 
 def verified_share(words: list[str], template: list[str], phrase: bool) -> float:
@@ -144,7 +156,7 @@ def scan(docs: DataFrame) -> DataFrame:
     spark = frames.ready(docs.sparkSession)
     keyed = _keyed(docs)
     templates = _templates()
-    found = voted(spark, keyed).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("template", "first", "last"))).alias("found"))
+    found = voted(spark, keyed).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("template", "first", "last", "begin", "end"))).alias("found"))
     held = _holding(keyed).distinct().alias("d")
     both = held.join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id AND d.th = f.th")).select("d.doc_id", "d.th", "d.text", "f.found")
     kind = pa.list_(pa.struct([("label", pa.string()), ("phrase", pa.bool_()), ("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
@@ -159,7 +171,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     mine = []
                     for s in spans:
                         _, label, words, phrase = templates[s["template"]]
-                        i, j = int(bounds[r]) + s["first"], int(bounds[r]) + s["last"]
+                        i, j = int(bounds[r]) + s["begin"], min(int(bounds[r]) + s["end"], int(bounds[r + 1]))
                         here = [bytes(w.data[x:y]).decode("utf-8", "replace") for x, y in zip(w.starts[i:j], w.ends[i:j], strict=True)]
                         score = verified_share(here, words, phrase)
                         if score >= (1 if phrase else VERIFIED):

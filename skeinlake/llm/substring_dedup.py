@@ -1,12 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by a join of window fingerprints.
 
-Every document is parsed greedily against reference blocks that together index
+Every document's windows are looked up in reference blocks that together index
 the whole corpus. A block holds the windows of ``WINDOW`` words whose least
 ``SEED``-word gram falls to it, with the smallest document and the place where
 each word sequence starts first; it answers each document's windows with that
-source. Windows with sources in a row are a factor: the longest match from there.
-A window across the boundary of two factors is looked up like any other, so what
-is found does not depend on where the parse cuts. Words covered by a window with
+source. Windows with sources in a row are strung together as runs; no longest match
+is sought. Every window is looked up by itself, so what is found does not depend on
+where runs end. Words covered by a window with
 a source in a smaller document are duplicate spans.
 
 What crosses the network is packed: per run of windows with one seed, the seed

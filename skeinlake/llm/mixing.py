@@ -7,9 +7,14 @@ of the budget selects a fraction. The prefix sums run over sums of key ranges,
 and only the one range per source in which the budget ends is summed row by row,
 so no task holds a source. Keys come from a digest of id and text: reruns agree.
 
-Cases: a null text has size 0 and is never counted; a null source is a source,
-ordered last; sources without words get nothing; ids may be null; rows repeated
-in full share a key and are taken or left together; an empty table gives no rows.
+Rows of one id, text and source share a key. They are summed before the range is,
+and where the budget ends among them, they are numbered and cut one by one, so a
+source misses its budget by half a document at most, repeated rows or not. Which
+of the equal rows are taken makes no difference to what is taken.
+
+Cases: a null text has size 0 and is never counted, one of any length is read whole;
+a null source is a source, ordered last; sources without words get nothing; ids may
+be null; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from . import frames
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
+#: What lowers a document's weight, and the characters a word that are taken as usual.
+SYMBOLS, DIGITS, WORD_CHARS = "#*$%&|<>", "0123456789", 6.5
 #: Key ranges per factor e of the key.
 RANGES = 512
 #: Sources up to which the table with a row for each is broadcast.
@@ -31,11 +38,13 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def quality_of(text: Column) -> Column:
-    """1 for text without symbols, less with each symbol per character."""
+def quality_of(text: Column, size: Column) -> Column:
+    """A document's weight, 1 at best: less with each symbol and digit per character, and the further the
+    characters per word are from ``WORD_CHARS``."""
     n = F.length(text)
-    symbols = n - F.length(F.translate(text, "#*$%&|<>", ""))
-    return F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.lit(50.0) * symbols / F.greatest(n, F.lit(1))), F.lit(1.0))
+    symbols, digits = (n - F.length(F.translate(text, c, "")) for c in (SYMBOLS, DIGITS))
+    odd = F.abs(F.try_divide(n.cast("double"), size) - F.lit(WORD_CHARS)) / F.lit(WORD_CHARS)
+    return F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.lit(50.0) * symbols / F.greatest(n, F.lit(1)) + F.lit(4.0) * digits / F.greatest(n, F.lit(1)) + odd), F.lit(1.0))
 
 
 def key_of(doc_id: Column, text: Column, weight: Column) -> Column:
@@ -44,11 +53,12 @@ def key_of(doc_id: Column, text: Column, weight: Column) -> Column:
     return -F.log(u) / weight
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and key of every row."""
-    text = F.col("text").cast("string")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text"))
-    return d.select("doc_id", "source", size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), F.col("text"), quality_of(F.col("text"))).alias("key"))
+def sized(docs: DataFrame, weight: Column | None = None) -> DataFrame:
+    """doc_id, source, size and key of every row. weight: the documents' weights, positive, if they aren't quality_of's."""
+    own = F.lit(None).cast("double") if weight is None else weight.cast("double")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), own.alias("weight"))
+    d = d.withColumn("size", size_of(F.col("text")))
+    return d.select("doc_id", "source", "size", key_of(F.col("doc_id"), F.col("text"), F.coalesce("weight", quality_of(F.col("text"), F.col("size")))).alias("key"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -77,8 +87,8 @@ def _range(key: Column) -> Column:
 
 
 def cuts(sizes: DataFrame, **how) -> DataFrame:
-    """A row a source: source_size, target, epochs, and where its fractional selection ends:
-    all of the key ranges below ``last``, and in ``last`` the rows up to ``upto``."""
+    """A row a source: source_size, target, epochs, and where its fractional selection ends: all of the key ranges
+    below ``last``, in ``last`` the keys up to ``upto``, and of the rows of the next key, ``part``, the first ``some``."""
     plan = targets(sizes, **how)
     plan = plan.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
     plan = frames.stored(plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-plan")
@@ -92,32 +102,51 @@ def cuts(sizes: DataFrame, **how) -> DataFrame:
     over = frames.stored(over.select("source", F.col("x.range").alias("last"), F.col("x.base").alias("base"), F.col("x.rest").alias("rest")), "mix-ranges")
     o = _small(over.withColumnRenamed("source", "o_source"))
     edge = ranged.join(o, ranged["source"].eqNullSafe(o["o_source"]) & (ranged["range"] == o["last"])).drop("o_source")
+    edge = edge.groupBy("source", "range", "key", "doc_id", "size", "base", "rest").agg(F.count("*").alias("rows"))
     running = Window.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = edge.withColumn("to", F.col("base") + F.sum("size").over(running)).where(2 * F.col("to") - F.col("size") <= 2 * F.col("rest"))
-    last = edge.groupBy("source").agg(F.max(F.struct("key", "doc_id")).alias("upto"))
-    l = last.withColumnRenamed("source", "l_source")
-    found = plan.join(o, plan["source"].eqNullSafe(o["o_source"]), "left").join(l, plan["source"].eqNullSafe(l["l_source"]), "left")
-    return frames.stored(found.select(plan["source"], "source_size", "target", "epochs", "last", "upto"), "mix-cuts")
+    edge = edge.withColumn("to", F.col("base") + F.sum(F.col("size") * F.col("rows")).over(running))
+    # row j of a key is taken if half of it or more lies within the budget
+    within = F.floor(F.try_divide(F.col("rest") - (F.col("to") - F.col("size") * F.col("rows")) + F.col("size") / 2.0, "size"))
+    edge = edge.withColumn("some", F.when(F.col("size") == 0, F.when(F.col("to") <= F.col("rest"), F.col("rows")).otherwise(0)).otherwise(F.greatest(F.least(within, "rows"), F.lit(0))).cast("long"))
+    key = F.struct("key", "doc_id")
+    last = edge.groupBy(F.col("source").alias("l_source")).agg(F.max(F.when(F.col("some") == F.col("rows"), key)).alias("upto"), F.max(F.when((F.col("some") > 0) & (F.col("some") < F.col("rows")), F.struct(F.col("key"), F.col("doc_id"), F.col("some")))).alias("part"))
+    found = plan.join(o, plan["source"].eqNullSafe(o["o_source"]), "left").join(last, plan["source"].eqNullSafe(last["l_source"]), "left")
+    return frames.stored(found.select(plan["source"], "source_size", "target", "epochs", "last", "upto", F.struct("part.key", "part.doc_id").alias("part"), "part.some"), "mix-cuts")
 
 
 def _small(per_source: DataFrame) -> DataFrame:
     return F.broadcast(per_source) if per_source.count() <= BROADCAST_SOURCES else per_source
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with their number, from 1, in each source: counted within the partitions as they are stored, which are
+    then added up, so that no task gets all rows of a source."""
+    held = frames.stored(rows.withColumn("dealt", F.spark_partition_id()), "mix-ties")
+    counts = held.groupBy("source", "dealt").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("dealt")) - F.col("n")).select(F.col("source").alias("b_source"), F.col("dealt").alias("b_dealt"), "before")
+    own = held.withColumn("own", F.row_number().over(Window.partitionBy("source", "dealt").orderBy("key")))
+    joined = own.join(before, own["source"].eqNullSafe(before["b_source"]) & (own["dealt"] == before["b_dealt"]))
+    return joined.withColumn("number", F.col("before") + F.col("own")).select(*rows.columns, "number")
+
+
 def taken(sizes: DataFrame, cut: DataFrame) -> DataFrame:
     """sizes' columns and source_size, target, copies and taken."""
     c = _small(cut.withColumnRenamed("source", "c_source"))
-    r = _range(F.col("key"))
-    chosen = F.coalesce((r < F.col("last")) | ((r == F.col("last")) & (F.struct("key", "doc_id") <= F.col("upto"))), F.col("last").isNull())
-    joined = sizes.join(c, sizes["source"].eqNullSafe(c["c_source"]), "left")
-    copies = F.when(F.col("size") > 0, F.col("epochs") + F.when(chosen & (F.col("epochs") < F.lit(int(CAP))), 1).otherwise(0)).otherwise(0)
-    return joined.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).select(*sizes.columns, "source_size", "target", "copies", "taken")
-
-
-def mix(docs: DataFrame, **how) -> DataFrame:
+    r, key = _range(F.col("key")), F.struct("key", "doc_id")
+    joined = sizes.join(c, sizes["source"].eqNullSafe(c["c_source"]), "left").drop("c_source")
+    tied = F.coalesce((r == F.col("last")) & key.eqNullSafe(F.col("part")) & F.col("some").isNotNull(), F.lit(False))
+    rest = joined.where(~tied).withColumn("chosen", F.coalesce((r < F.col("last")) | ((r == F.col("last")) & F.coalesce(key <= F.col("upto"), F.lit(False))), F.col("last").isNull()))
+    if not cut.where("some IS NOT NULL").isEmpty():
+        ties = _numbered(joined.where(tied))
+        rest = rest.unionByName(ties.withColumn("chosen", F.col("number") <= F.col("some")).drop("number"))
+    copies = F.when(F.col("size") > 0, F.col("epochs") + F.when(F.col("chosen") & (F.col("epochs") < F.lit(int(CAP))), 1).otherwise(0)).otherwise(0)
+    return rest.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).select(*sizes.columns, "source_size", "target", "copies", "taken")
+
+
+def mix(docs: DataFrame, weight: Column | None = None, **how) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of every row of docs."""
     frames.ready(docs.sparkSession)
-    sizes = frames.stored(sized(docs), "mix-sizes")
+    sizes = frames.stored(sized(docs, weight), "mix-sizes")
     return taken(sizes, cuts(sizes, **how)).drop("key")
 
 
@@ -126,9 +155,11 @@ def op4_source_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS m,
-    coalesce(1.0::DOUBLE / (1.0::DOUBLE + 50.0::DOUBLE * (length(text) - length(translate(text, '#*$%&|<>', ''))) / greatest(length(text), 1)), 1.0::DOUBLE) AS q FROM documents),
+WITH w0 AS (SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+d AS (
+  SELECT doc_id, source, size, md5(coalesce(text, '')) AS m,
+    coalesce(1.0::DOUBLE / (1.0::DOUBLE + 50.0::DOUBLE * (length(text) - length(translate(text, '#*$%&|<>', ''))) / greatest(length(text), 1)
+      + 4.0::DOUBLE * (length(text) - length(translate(text, '0123456789', ''))) / greatest(length(text), 1) + abs(length(text)::DOUBLE / nullif(size, 0) - 6.5::DOUBLE) / 6.5::DOUBLE), 1.0::DOUBLE) AS q FROM w0),
 k AS (
   SELECT doc_id, source, size, -ln((('0x' || substr(sha256(concat_ws(':', doc_id::VARCHAR, m)), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / q AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM k GROUP BY source),

@@ -57,3 +57,20 @@ def test_sql(spark):
 
 def test_empty(spark):
     assert M.mix(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
+
+
+def test_repeated_rows_are_cut_one_by_one(spark):
+    rows = [(1, "a", "w " * 10)] * 60 + [(i, "a", "x " * 8) for i in range(2, 52)] + [(i, "b", "y " * 7 + str(i)) for i in range(100, 103)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    for shift in range(3):
+        got = M.mix(d.selectExpr(f"doc_id + {shift} AS doc_id", "source", "text")).collect()
+        assert len(got) == len(rows)
+        for s in "ab":
+            own = [r for r in got if r.source == s]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= max(r["size"] for r in own)
+
+
+def test_given_weights(spark):
+    d = spark.createDataFrame([(i, "a", "w " * 5, 9.0 if i % 2 else 0.1) for i in range(400)], "doc_id long, source string, text string, quality double")
+    got = M.mix(d, d["quality"], share=0.5, cap=0.5).where("taken > 0").collect()
+    assert 190 <= len(got) <= 210 and sum(r.doc_id % 2 for r in got) > 0.9 * len(got)

@@ -1,21 +1,29 @@
 """Deterministic sharded WARC writer, and a reader.
 
-Records are sorted by page id and dealt to shards that are ranges of page ids
-with about equal payload bytes; a shard is written as one or more files, a new
+Records are sorted by page id and dealt to shards that are ranges of page ids of
+at most ``shard_bytes`` payload bytes; a shard is written as one or more files, a new
 one begun when the compressed size reaches ``roll_bytes``. Headers, record ids
 and digests are made anew from the content, so the same pages give the same
 files, byte for byte, whatever the partitions. Of equal payloads (of at least
 ``min_revisit`` bytes) the one of the largest page id is the response; the others
 are revisits of it.
 
+The ranges are found by bytes, not by ids: ranges with too many bytes are cut into
+narrower ones, round after round, so ids that lie far off or close together change
+nothing. An id with more bytes than a shard, or all rows without an id, are dealt
+to shards of their own by payload digest. The driver sees sums of ranges only, of
+which there are some ``4 * MAX_SHARDS`` at most (shards grow beyond that many).
+
 Tasks write under temporary names that no other attempt uses. What the successful
-attempts wrote is listed in a table in the shared folder; the driver then gives
-those files their final names and writes manifest.json last, itself by renaming.
+attempts wrote is listed in a table in the shared folder; tasks then give those files
+their final names, which may be repeated, and the driver writes manifest.json last,
+itself by renaming. A folder without it isn't read, one with it isn't written.
 Files that a lost attempt left are removed with the temporary folder.
 
-Cases: a null html is an empty payload; a null url gives no target URI; null page
-ids sort first; of repeated rows each has its record, one of them the response;
-an empty table gives a manifest without files.
+Cases: a null html is an empty payload, one of any size is written whole; a null url
+gives no target URI; null page ids sort first; of repeated rows each has its record,
+one of them the response; an empty table gives a manifest without files; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,16 +35,18 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import frames
 
 ROLL_BYTES = 16 << 20
 SHARD_BYTES = 64 << 20
-#: Ranges of page ids whose bytes the driver sees to set the shards' bounds.
-ID_RANGES = 4096
+#: Least number of ranges of page ids that a round sums, and most shards.
+ID_RANGES, MAX_SHARDS = 4096, 1 << 16
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("temporary", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())])
@@ -142,74 +152,149 @@ class _Files:
             self.stream, self.part = None, self.part + 1
 
 
-def _shards(small: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
-    """Lowest id, width of an id range, and the first range of each shard after the first."""
-    low, high = small.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return 0, 1, []
-    width = max(1, -(-(high - low + 1) // ID_RANGES))
-    ranged = small.where("page_id IS NOT NULL").groupBy(F.floor((F.col("page_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long").alias("r")).agg(F.sum("n").alias("n"))
-    cuts, held = [], 0
-    for r, n in sorted(map(tuple, ranged.collect())):
-        if held and held + n > shard_bytes:
-            cuts.append(r)
-            held = 0
-        held += n
-    return low, width, cuts
-
-
-def write(pages: DataFrame, out: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, min_revisit: int = 0) -> list[dict]:
-    """Writes the pages' archives into the folder ``out`` (a path or URI); returns the manifest."""
+def _bytes_by_range(small: DataFrame, starts: np.ndarray) -> np.ndarray:
+    """Payload bytes of the ids from each start on to the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.searchsorted(starts, b.column("page_id").to_numpy(), "right") - 1
+            own, back = np.unique(at, return_inverse=True)
+            n = np.zeros(len(own), np.int64)
+            np.add.at(n, back, b.column("n").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(n)], names=["r", "n"])
+
+    out = np.zeros(len(starts), np.int64)
+    for r, n in small.where("page_id IS NOT NULL").select("page_id", "n").mapInArrow(run, "r long, n long").groupBy("r").agg(F.sum("n")).toLocalIterator():  # a row a range
+        out[r] = n
+    return out
+
+
+class _Shards:
+    """Cells of ids and the shards of each: those from ``starts`` on to the next, and before them the rows without an id."""
+
+    def __init__(self, small: DataFrame, shard_bytes: int):
+        low, high, total, unknown = small.agg(F.min("page_id"), F.max("page_id"), F.sum("n"), F.sum(F.when(F.col("page_id").isNull(), F.col("n")))).first()
+        self.limit = max(shard_bytes, -(-(total or 0) // MAX_SHARDS))
+        starts, ends, sums = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if low is not None:
+            starts, ends, sums = np.array([low]), np.array([high]), np.array([(total or 0) - (unknown or 0)])
+        while True:
+            wide = np.flatnonzero((sums > self.limit) & (ends > starts))
+            if not len(wide):
+                break
+            cut = [starts[np.setdiff1d(np.arange(len(starts)), wide)]]
+            for i in wide.tolist():
+                first, ids = int(starts[i]), int(ends[i]) - int(starts[i]) + 1
+                n = min(ids, max(-(-4 * int(sums[i]) // self.limit), ID_RANGES // len(wide), 2))
+                width = -(-ids // n)
+                cut.append(np.array([first + k * width for k in range(-(-ids // width))], np.int64))
+            starts = np.sort(np.concatenate(cut))
+            ends = np.append(starts[1:] - 1, high)
+            sums = _bytes_by_range(small, starts)
+        cells = np.append(unknown or 0, sums)
+        self.split = np.maximum(1, -(-cells // self.limit)).astype(np.int64)
+        first, held, at = [], 0, 0
+        for n, k in zip(cells.tolist(), self.split.tolist(), strict=True):
+            if held and held + n > self.limit:
+                at, held = at + 1, 0
+            first.append(at)
+            held += n
+            at += k - 1
+        self.starts, self.first, self.count = starts, np.array(first, np.int64), at + 1
+
+    def of(self, page_id: Column, sha: Column) -> Column:
+        """The number of a row's shard."""
+        starts, first, split = self.starts, self.first, self.split
+
+        @F.pandas_udf("long")
+        def shard(known: pd.Series, ids: pd.Series, part: pd.Series) -> pd.Series:
+            cell = np.where(known, np.searchsorted(starts, ids.to_numpy(), "right"), 0)
+            return pd.Series(first[cell] + (part.to_numpy() * split[cell] >> 32))
+
+        return shard(page_id.isNotNull(), F.coalesce(page_id, F.lit(0)).cast("long"), F.conv(F.substr(sha, F.lit(1), F.lit(8)), 16, 10).cast("long"))
+
+
+MANIFEST_NAMES = "shard long, part long, temporary string, records long, bytes long, sha1 string"
+
+
+def write(pages: DataFrame, out: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, min_revisit: int = 0) -> DataFrame:
+    """Writes the pages' archives into the folder ``out`` (a path or URI); returns the manifest: file, records, bytes, sha1."""
     spark = frames.ready(pages.sparkSession)
+    system, folder = _filesystem(out)
+    if _exists(system, f"{folder}/manifest.json"):
+        raise FileExistsError(f"{out} already holds archives")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     small = p.select("page_id", F.sha1("payload").alias("sha"), F.octet_length("payload").cast("long").alias("n"))
     small = frames.stored(small, "warc-digests")
-    low, width, cuts = _shards(small, shard_bytes)
-    edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else None
-    place = F.floor((F.col("page_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long")
-    shard = F.coalesce(F.size(F.filter(edges, lambda c: c <= place)), F.lit(0)).cast("long") if cuts else F.lit(0).cast("long")
-    shard = F.when(F.col("page_id").isNull(), 0).otherwise(shard)
+    shards = _Shards(small, shard_bytes)
     groups = small.where(F.col("n") >= min_revisit).groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    revisits = small.join(groups, "sha").select("page_id", F.col("sha"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "keeper").distinct()
+    # stored, so that the join gets two plain shuffles, of which Spark splits what is skewed
+    groups = frames.stored(groups, "warc-groups")
+    revisits = small.select("page_id", "sha").join(groups, "sha").select("page_id", F.col("sha"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "keeper").distinct()
     rows = p.select("page_id", F.sha1("payload").alias("sha"), F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("keeper"))
-    parts = max(frames.partitions(spark), len(cuts) + 1)
-    ordered = revisits.unionByName(rows).withColumn("shard", shard).repartitionByRange(parts, "shard").sortWithinPartitions("shard", "page_id", "kind", "sha", "url")
+    dealt = revisits.unionByName(rows).withColumn("shard", shards.of(F.col("page_id"), F.col("sha")))
+    ordered = dealt.repartitionById(shards.count, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "sha", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, page, keepers, copies = _Files(out, roll_bytes), object(), {}, {}
+        files, last, keeper, copy = _Files(out, roll_bytes), object(), None, -1
         for b in batches:
             names = ("page_id", "sha", "kind", "url", "payload", "keeper", "shard")
-            for page_id, sha, kind, url, payload, keeper, at in zip(*(b.column(n) for n in names), strict=True):
+            for page_id, sha, kind, url, payload, own, at in zip(*(b.column(n) for n in names), strict=True):
                 page_id, sha = page_id.as_py(), sha.as_py()
-                if page_id != page:
-                    page, keepers, copies = page_id, {}, {}
+                if (page_id, sha) != last:
+                    last, keeper, copy = (page_id, sha), None, -1
                 if kind.as_py() == 0:
-                    keepers[sha] = keeper.as_py()
+                    keeper = (own.as_py(),)
                     continue
-                copy = copies[sha] = copies.get(sha, -1) + 1
-                again = sha in keepers and (copy > 0 or keepers[sha] != page_id)
-                files.add(at.as_py(), member(record(page_id, url.as_py(), payload.as_py(), (keepers[sha],) if again else None, copy)))
+                copy += 1
+                again = keeper is not None and (copy > 0 or keeper[0] != page_id)
+                files.add(at.as_py(), member(record(page_id, url.as_py(), payload.as_py(), keeper if again else None, copy)))
         files.close()
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in files.rows], f.type) for i, f in enumerate(MANIFEST)], schema=MANIFEST)
 
-    written = frames.stored(ordered.mapInArrow(run, "shard long, part long, temporary string, records long, bytes long, sha1 string"), "warc-manifest")
+    written = frames.stored(ordered.mapInArrow(run, MANIFEST_NAMES), "warc-manifest")
     return _commit(written, out)
 
 
-def _commit(written: DataFrame, out: str) -> list[dict]:
+def _exists(system, path: str) -> bool:
+    from pyarrow.fs import FileType
+
+    return system.get_file_info(path).type != FileType.NotFound
+
+
+def _publish(system, source: str, target: str) -> None:
+    """Renames source; done already if only the target is there, as after a repeated task."""
+    if _exists(system, source):
+        try:
+            system.move(source, target)
+        except OSError:
+            if _exists(system, source) or not _exists(system, target):
+                raise
+    elif not _exists(system, target):
+        raise FileNotFoundError(source)
+
+
+def _commit(written: DataFrame, out: str) -> DataFrame:
+    spark = written.sparkSession
     system, folder = _filesystem(out)
     system.create_dir(folder, recursive=True)
-    manifest = []
-    for r in written.orderBy("shard", "part").toLocalIterator():  # a row a file
-        name = f"pages-{r.shard:06d}-{r.part:05d}.warc.gz"
-        system.move(_filesystem(r.temporary)[1], f"{folder}/{name}")
-        manifest.append({"file": name, "records": r.records, "bytes": r.bytes, "sha1": r.sha1})
-    from pyarrow.fs import FileType
+    named = written.withColumn("file", F.format_string("pages-%06d-%05d.warc.gz", "shard", "part"))
 
-    if system.get_file_info(f"{folder}/_temporary").type == FileType.Directory:
+    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, _ = _filesystem(out)
+        for b in batches:
+            for temporary, file in zip(b.column("temporary").to_pylist(), b.column("file").to_pylist(), strict=True):
+                _publish(here, _filesystem(temporary)[1], f"{folder}/{file}")
+            yield b.select(["file", "records", "bytes", "sha1"])
+
+    manifest = frames.stored(named.repartition(frames.partitions(spark)).mapInArrow(publish, "file string, records long, bytes long, sha1 string"), "warc-files")
+    if _exists(system, f"{folder}/_temporary"):
         system.delete_dir(f"{folder}/_temporary")
     with system.open_output_stream(f"{folder}/manifest.json.tmp") as f:
-        f.write(json.dumps({"files": manifest}, indent=1).encode())
+        f.write(b'{"files": [')
+        for i, r in enumerate(manifest.orderBy("file").toLocalIterator()):  # a row a file, written as it comes
+            f.write(("," * (i > 0) + "\n " + json.dumps(r.asDict())).encode())
+        f.write(b"\n]}\n")
     system.move(f"{folder}/manifest.json.tmp", f"{folder}/manifest.json")
     return manifest
 
@@ -217,12 +302,17 @@ def _commit(written: DataFrame, out: str) -> list[dict]:
 READ = pa.schema([("file", pa.string()), ("position", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
-def read(spark: SparkSession, folder: str, files: list[str], payloads: bool = True) -> DataFrame:
-    """READ's columns of every record in the files; payload is null for revisits."""
+#: Payload bytes and records that the reader holds before it sends them on.
+HELD_BYTES, HELD_RECORDS = 4 << 20, 1000
+
+
+def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+    """READ's columns of every record in a finished folder; payload is null for revisits."""
     frames.ready(spark)
     schema = "file string, position long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-    if not files:
-        return spark.createDataFrame([], schema)
+    system, path = _filesystem(folder)
+    if not _exists(system, f"{path}/manifest.json"):
+        raise FileNotFoundError(f"{folder} holds no finished archives")
     whole = lambda v: int(v) if v is not None else None
 
     def rows(path: str, content: bytes) -> Iterator[tuple]:
@@ -239,23 +329,24 @@ def read(spark: SparkSession, folder: str, files: list[str], payloads: bool = Tr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column("path"), b.column("content"), strict=True):
-                held: list[tuple] = []
+                held, size = [], 0
                 for row in rows(path.as_py().rsplit("/", 1)[-1], content.as_buffer()):
                     held.append(row)
-                    if len(held) >= 1000:
+                    size += len(row[-1] or b"")
+                    if len(held) >= HELD_RECORDS or size >= HELD_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), READ, strict=True)], schema=READ)
-                        held = []
+                        held, size = [], 0
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), READ, strict=True)], schema=READ)
 
-    source = spark.read.format("binaryFile").load([f"{folder}/{f}" for f in files]).select("path", "content")
+    source = spark.read.format("binaryFile").option("pathGlobFilter", "pages-*.warc.gz").load(folder).select("path", "content")
     return source.mapInArrow(run, schema)
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     out = frames.new_path(spark, "warc")
-    manifest = write(frames.table(spark, sf_dir, "pages"), out)
-    return read(spark, out, [f["file"] for f in manifest], payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    write(frames.table(spark, sf_dir, "pages"), out)
+    return read(spark, out, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP2_SQL = """

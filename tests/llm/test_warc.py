@@ -4,6 +4,7 @@ import json
 from pathlib import Path
 
 import duckdb
+import pytest
 
 from skeinlake.llm import warc as W
 
@@ -12,16 +13,20 @@ def folder(path):
     return {p.name: hashlib.sha1(p.read_bytes()).hexdigest() for p in sorted(Path(path).iterdir())}
 
 
+def listed(manifest):
+    return [r.asDict() for r in manifest.orderBy("file").collect()]
+
+
 def test_round_trip(spark, tmp_path):
     pages = [(i, f"http://h/{i} é\r\nX: 1" if i % 3 else None, ["", None, "same", f"<p>{i}é🎈\r\n\r\n</p>" * (i % 50)][i % 4]) for i in range(400)]
     pages += [(2, "again", "same"), (2, "again", "same"), (None, None, "same"), (None, "n", "only null"), (None, "n", "only null"), (10**17, "far", "x")]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, payload string")
-    m = W.write(df, str(tmp_path / "a"), roll_bytes=1500, shard_bytes=20000)
+    m = listed(W.write(df, str(tmp_path / "a"), roll_bytes=1500, shard_bytes=20000))
     W.write(df.repartition(9), f"file://{tmp_path}/b", roll_bytes=1500, shard_bytes=20000)
     assert folder(tmp_path / "a") == folder(tmp_path / "b") and len(m) > 5
     assert [f["file"] for f in json.loads((tmp_path / "a/manifest.json").read_text())["files"]] == [f["file"] for f in m]
     assert gzip.decompress((tmp_path / "a" / m[0]["file"]).read_bytes()).startswith(b"WARC/1.1\r\n")
-    rows = W.read(spark, str(tmp_path / "a"), [f["file"] for f in m]).collect()
+    rows = W.read(spark, str(tmp_path / "a")).collect()
     key = lambda p: (str(p[0]), (p[1] or "").encode())
     assert sorted((str(r.page_id), r.payload_bytes) for r in rows) == sorted((str(p[0]), len((p[2] or "").encode())) for p in pages)
     by = {}
@@ -33,12 +38,44 @@ def test_round_trip(spark, tmp_path):
         assert responses[0].page_id == max((r.page_id for r in group if r.page_id is not None), default=None)
         assert all(r.refers_to == responses[0].page_id for r in group if r.record_type == "revisit")
     W.write(df.where("page_id = 3"), str(tmp_path / "c"), min_revisit=5)
-    m = W.write(df.where("html = 'same'"), str(tmp_path / "d"), min_revisit=5)
-    assert {r.record_type for r in W.read(spark, str(tmp_path / "d"), [f["file"] for f in m]).collect()} == {"response"}
+    W.write(df.where("html = 'same'"), str(tmp_path / "d"), min_revisit=5)
+    assert {r.record_type for r in W.read(spark, str(tmp_path / "d")).collect()} == {"response"}
+    with pytest.raises(FileExistsError):
+        W.write(df, str(tmp_path / "d"))
+    with pytest.raises(FileNotFoundError):
+        W.read(spark, str(tmp_path))
 
 
 def test_empty(spark, tmp_path):
-    assert W.write(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path)) == []
+    assert W.write(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path)).count() == 0
+    assert W.read(spark, str(tmp_path)).count() == 0
+
+
+def test_shards_follow_bytes_not_ids(spark, tmp_path):
+    ids = [*range(3000), 10**17, -(1 << 63), (1 << 63) - 1]
+    rows = [(i, None, f"{i:>100}") for i in ids] + [(77, None, f"hot {i:>96}") for i in range(2000)] + [(None, None, f"none {i:>95}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    W.write(df, str(tmp_path / "a"), shard_bytes=20_000)
+    W.write(df.repartition(3), str(tmp_path / "b"), shard_bytes=20_000)
+    assert folder(tmp_path / "a") == folder(tmp_path / "b")
+    got = W.read(spark, str(tmp_path / "a")).collect()
+    assert sorted((str(r.page_id), bytes(r.payload).decode()) for r in got) == sorted((str(i), h) for i, _, h in rows)
+    held = {}
+    for r in got:
+        held[r.file[:12]] = held.get(r.file[:12], 0) + r.payload_bytes
+    assert len(held) >= 33 and max(held.values()) <= 1.4 * 20_000  # digests deal a hot id evenly, not exactly
+    in_order = [-1 if r.page_id is None else r.page_id + (1 << 63) for r in sorted(got, key=lambda r: (r.file, r.position))]
+    assert in_order == sorted(in_order)
+
+
+def test_a_repeated_rename_is_done(tmp_path):
+    system, _ = W._filesystem(str(tmp_path))
+    (tmp_path / "x").write_text("1")
+    for _ in range(2):
+        W._publish(system, f"{tmp_path}/x", f"{tmp_path}/y")
+    assert (tmp_path / "y").read_text() == "1"
+    with pytest.raises(FileNotFoundError):
+        W._publish(system, f"{tmp_path}/x", f"{tmp_path}/z")
 
 
 def test_sql(spark):

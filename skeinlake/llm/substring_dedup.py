@@ -1,24 +1,27 @@
-"""Substring dedup by a join of window fingerprints.
-
-Every document's windows are looked up in reference blocks that together index
-the whole corpus. A block holds the windows of ``WINDOW`` words whose least
-``SEED``-word gram falls to it, with the smallest document and the place where
-each word sequence starts first; it answers each document's windows with that
-source. Windows with sources in a row are strung together as runs; no longest match
-is sought. Every window is looked up by itself, so what is found does not depend on
-where runs end. Words covered by a window with
-a source in a smaller document are duplicate spans.
-
-What crosses the network is packed: per run of windows with one seed, the seed
-and the document, and for each window 40 further bits of a second fingerprint;
-equality is decided on 104 bits. Before that each task answers what it can among
-its own texts, and sends only a sequence's smallest document, so a passage that
-a third of all documents hold is sent once a task and not once a document.
+"""Substring dedup by relative Lempel-Ziv parsing.
+
+Every document is factored greedily against reference blocks that together index
+the whole corpus. A block holds stretches of text: runs of neighbouring windows of
+``WINDOW`` words whose least ``SEED``-word gram falls to it. No other block can match
+such a window, so a stretch is parsed against the one block that can. The block's
+index is a suffix array over the windows of its stretches. From a place whose window
+also starts in a smaller document, binary search finds the longest match with text of
+such a document; it becomes a factor (place, length, source, place there), and parsing
+goes on at the first window that isn't whole inside the factor. So all windows across a
+factor's end are looked up too, and no window is missed: what the factors cover is
+what the contract removes, wherever they end. Factors of neighbouring stretches that
+continue each other in the same source become one.
+
+What crosses the network is packed: per stretch the seed and the document, and for
+each window 40 further bits of a second fingerprint; equality is decided on 104 bits.
+Before that each task takes its own texts as a first reference block, and sends only
+the windows without a smaller document there, so a passage that a third of all
+documents hold is sent once a task and not once a document.
 
 Documents are ordered by id; a null id is larger than all. Cases: a null text has
-no words; texts under ``WINDOW`` words lose nothing; rows that share an id never
-remove from each other; repeated rows get the same result; an empty table gives
-no rows.
+no words; texts under ``WINDOW`` words lose nothing; texts of any length are parsed
+whole; rows that share an id never remove from each other; repeated rows get the same
+result; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +41,10 @@ WINDOW, SEED = 13, 3
 OWN_BYTES, BLOCK_BYTES = 8 << 20, 8 << 20
 LAST = (1 << 63) - 1
 
+#: Steps in which all stretches are parsed together; then, if fewer than FEW are left, each by itself, so many places at once.
+ROUNDS, FEW, CHASED = 64, 256, 1 << 18
+
+#: A factor: its first window, windows, source document and first window there.
 RUN = np.dtype([("start", "<i4"), ("n", "<i4"), ("source", "<i8"), ("place", "<i4")])
 DOC_RUN = np.dtype([("ord", "<i8"), ("th", "<i4"), ("run", RUN)])
 
@@ -74,32 +81,162 @@ def seeds_and_windows(w: textcore.Spans, window: int, seed: int) -> tuple[np.nda
     return least[at], whole[at] >> np.uint64(24), at
 
 
-def sources(seed: np.ndarray, rest: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window, whether its sequence has a smaller document among these, and the window there."""
-    by = np.argsort(textcore.mix(seed + rest * np.uint64(0x9E3779B97F4A7C15)), kind="stable")
-    s, r, o = seed[by], rest[by], order[by]
-    new = np.ones(len(by), bool)
-    new[1:] = (s[1:] != s[:-1]) | (r[1:] != r[:-1])
-    begin = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    least = np.minimum.reduceat(o, begin)[group] if len(by) else o
-    smallest = np.flatnonzero(o == least)
-    _, first = np.unique(group[smallest], return_index=True)
-    later, source = np.zeros(len(by), bool), np.zeros(len(by), np.int64)
-    later[by] = o != least
-    source[by] = by[smallest[first]][group] if len(by) else 0
-    return later, source
-
-
-def _runs(doc: np.ndarray, start: np.ndarray, source: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows in a row with sources in a row become one RUN; also the document of each run."""
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (source[1:] != source[:-1]) | (place[1:] != place[:-1] + 1)
-    at = np.flatnonzero(new)
+class Index:
+    """Suffix array of stretches of windows. token: equal for equal windows; order: of the window's document;
+    new: whether a stretch begins. Only windows that stand in several documents are indexed."""
+
+    def __init__(self, token: np.ndarray, order: np.ndarray, new: np.ndarray):
+        by = np.argsort(token, kind="stable")
+        edge = np.ones(len(by), bool)
+        edge[1:] = token[by][1:] != token[by][:-1]
+        begin, group = np.flatnonzero(edge), np.cumsum(edge) - 1
+        low, high = (f.reduceat(order[by], begin) if len(by) else order for f in (np.minimum, np.maximum))
+        self.later, indexed = np.zeros(len(by), bool), np.zeros(len(by), bool)
+        self.later[by] = order[by] != low[group]
+        indexed[by] = (low != high)[group]
+        ids = np.zeros(len(by), np.int64)
+        ids[by] = group + 1
+        at = self.at = np.flatnonzero(indexed)
+        size = self.size = len(at)
+        if not size:
+            return
+        first = new[at].copy()
+        first[0] = True
+        first[1:] |= at[1:] != at[:-1] + 1
+        self.stretches = np.flatnonzero(first)
+        ends = np.append(self.stretches[1:], size)
+        self.end = np.repeat(ends, ends - self.stretches)
+        self.room = self.end - np.arange(size)
+        self.order = order[at]
+        due = np.where(self.later[at], np.arange(size), size)
+        self.next_later = np.append(np.minimum.accumulate(due[::-1])[::-1], size)
+        self._sort(ids[at])
+
+    def _sort(self, ids: np.ndarray) -> None:
+        """Ranks of all suffixes by their first 1, 2, 4 ... windows, until no match between documents is longer."""
+        rank = self._dense(ids)[1]
+        self.ranks, step = [rank], 1
+        while True:
+            ahead = np.zeros(self.size, np.int64)
+            on = np.flatnonzero(self.room > step)
+            ahead[on] = rank[on + step]
+            by, rank = self._dense(rank.astype(np.int64) * (self.size + 1) + ahead)
+            begin = np.flatnonzero(np.append(True, rank[by][1:] != rank[by][:-1]))
+            docs = self.order[by]
+            full = self.room[by[begin]] >= 2 * step
+            step *= 2
+            if not (full & (np.minimum.reduceat(docs, begin) != np.maximum.reduceat(docs, begin))).any():
+                break
+            self.ranks.append(rank)
+        self.suffixes = by.astype(np.int32)
+        # places by document and place, so that the least of a range of suffixes is the first place of the smallest document
+        self.places = np.argsort(self.order, kind="stable").astype(np.int32)
+        own = np.empty(self.size, np.int32)
+        own[self.places] = np.arange(self.size, dtype=np.int32)
+        self.least, width = [own[by]], 1
+        while 2 * width <= self.size:
+            before = self.least[-1]
+            self.least.append(np.minimum(before[:-width], before[width:]))
+            width *= 2
+
+    @staticmethod
+    def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of keys, and their ranks from 1."""
+        by = np.argsort(key, kind="stable")
+        rank = np.empty(len(by), np.int32)
+        rank[by] = np.cumsum(np.append(True, key[by][1:] != key[by][:-1]))
+        return by, rank
+
+    def _edge(self, k: int, done: np.ndarray, want: np.ndarray, low: np.ndarray, high: np.ndarray, after: bool) -> np.ndarray:
+        """The first suffix in [low, high) whose rank by 2**k windows from ``done`` on is want or more (after: more)."""
+        low, high = low.copy(), high.copy()
+        while True:
+            on = np.flatnonzero(low < high)
+            if not len(on):
+                return low
+            middle = (low[on] + high[on]) // 2
+            suffix = self.suffixes[middle]
+            has = self.room[suffix] > done[on]
+            found = np.where(has, self.ranks[k][np.minimum(suffix + done[on], self.size - 1)], 0)
+            right = found <= want[on] if after else found < want[on]
+            low[on[right]] = middle[right] + 1
+            high[on[~right]] = middle[~right]
+
+    def longest(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place, windows of the longest match with a smaller document, and the place of the match."""
+        done, low, high = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.full(len(at), self.size)
+        source = np.zeros(len(at), np.int64)
+        for k in range(len(self.ranks) - 1, -1, -1):
+            on = np.flatnonzero(self.room[at] >= done + (1 << k))
+            if not len(on):
+                continue
+            want, d = self.ranks[k][at[on] + done[on]], done[on]
+            a = self._edge(k, d, want, low[on], high[on], False)
+            b = self._edge(k, d, want, a, high[on], True)
+            some = np.flatnonzero(a < b)
+            on, a, b = on[some], a[some], b[some]
+            p = np.frexp((b - a).astype(np.float64))[1] - 1  # 2**p suffixes fit
+            first = np.empty(len(on), np.int64)
+            for q in np.unique(p).tolist():
+                x = np.flatnonzero(p == q)
+                first[x] = np.minimum(self.least[q][a[x]], self.least[q][b[x] - (1 << q)])
+            place = self.places[first]
+            fits = self.order[place] < self.order[at[on]]
+            on = on[fits]
+            done[on] += 1 << k
+            low[on], high[on], source[on] = a[fits], b[fits], place[fits]
+        return done, source
+
+    def parse(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Factors of all stretches: window, windows, and window of the source, by window."""
+        if not self.size:
+            return (np.zeros(0, np.int64),) * 3
+        at, out, rounds = self.stretches, [], 0
+        end = self.end[at]
+        while True:
+            at = self.next_later[at]
+            on = at < end
+            at, end = at[on], end[on]
+            if not len(at):
+                break
+            if rounds >= ROUNDS and len(at) < FEW:
+                out += self._chased(at, end)
+                break
+            n, source = self.longest(at)
+            out.append((at, n, source))
+            at, rounds = at + n, rounds + 1
+        where, n, source = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        by = np.argsort(where, kind="stable")
+        return self.at[where[by]], n[by], self.at[source[by]]
+
+    def _chased(self, at: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Factors of a few long stretches: all of their places are looked up at once, then each is followed."""
+        out = []
+        for a, e in zip(at.tolist(), end.tolist(), strict=True):
+            for low in range(a, e, CHASED):
+                places = np.arange(low, min(low + CHASED, e))
+                places = places[self.next_later[places] == places]
+                n, source = self.longest(places)
+                size, known = dict(zip(places.tolist(), n.tolist(), strict=True)), []
+                while a < min(low + CHASED, e):
+                    known.append(a)
+                    a = int(self.next_later[a + size[a]])
+                known = np.array(known, np.int64)
+                x = np.searchsorted(places, known)
+                out.append((known, n[x], source[x]))
+        return out
+
+
+def tokens(seed: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    return textcore.mix(seed + rest * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _runs(index: Index, order: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The factors as RUNs, and the window where each begins."""
+    at, n, source = index.parse()
     out = np.zeros(len(at), RUN)
-    out["start"], out["source"], out["place"] = start[at], source[at], place[at]
-    out["n"] = np.diff(np.append(at, len(doc)))
-    return out, doc[at]
+    out["start"], out["n"], out["source"], out["place"] = start[at], n, order[source], start[source]
+    return out, at
 
 
 def _binary(runs: np.ndarray, groups: np.ndarray) -> pa.Array:
@@ -138,14 +275,16 @@ class _Own:
         seed, rest, doc, start = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         order, th = np.concatenate(self.order), np.concatenate(self.th)
         self.clear()
-        later, source = sources(seed, rest, order[doc])
-        if later.any():
-            at = np.flatnonzero(later)
-            runs, of = _runs(doc[at], start[at], order[doc[source[at]]], start[source[at]])
+        own, fresh = order[doc], np.append(True, doc[1:] != doc[:-1])
+        index = Index(tokens(seed, rest), own, fresh)
+        runs, at = _runs(index, own, start)
+        if len(runs):
+            of = doc[at]
             groups = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
             of = of[groups]
             yield pa.RecordBatch.from_arrays([pa.array(of % self.blocks), pa.array(np.zeros(len(of), np.int64)), _binary(runs, groups), pa.array(order[of]), pa.array(th[of])], schema=SENT)
-        at = np.flatnonzero(~later)
+        at = np.flatnonzero(~index.later)
+        del index
         if not len(at):
             return
         seed, rest, doc, start = seed[at], rest[at], doc[at], start[at]
@@ -167,7 +306,7 @@ class _Own:
 
 
 def _unpacked(n: int, data: memoryview) -> tuple[np.ndarray, ...]:
-    """seed, order, th, start of each window."""
+    """seed, rest, order, th, start of each window, and whether it begins a stretch."""
     seed = np.frombuffer(data, np.uint64, n)
     order = np.cumsum(_unplaned(data[8 * n :], "<i8", n))
     th = np.frombuffer(data, np.int32, n, 16 * n)
@@ -177,7 +316,7 @@ def _unpacked(n: int, data: memoryview) -> tuple[np.ndarray, ...]:
     rest[:, :5] = np.frombuffer(data, np.uint8, len(rest) * 5, 28 * n).reshape(-1, 5)
     run = np.repeat(np.arange(n), m)
     step = np.arange(len(run)) - np.repeat(np.cumsum(m) - m, m)
-    return seed[run], rest.view(np.uint64).ravel(), order[run], th[run], start[run] + step.astype(np.int32)
+    return seed[run], rest.view(np.uint64).ravel(), order[run], th[run], start[run] + step.astype(np.int32), step == 0
 
 
 def _packed(order: np.ndarray, th: np.ndarray, runs: np.ndarray, groups: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
@@ -215,15 +354,13 @@ def answers(table: pa.Table, parts: int) -> pa.Table:
     sent = table.filter(pa.compute.greater(table["n"], 0))
     if sent.num_rows:
         unpacked = [_unpacked(n.as_py(), memoryview(d.as_buffer())) for n, d in zip(sent["n"], sent["data"], strict=True)]
-        seed, rest, order, th, start = (np.concatenate(x) for x in zip(*unpacked, strict=True))
-        later, source = sources(seed, rest, order)
-        at = np.flatnonzero(later)
-        if len(at):
-            key = np.ones(len(at), np.int64)
-            key[1:] = (order[at[1:]] != order[at[:-1]]) | (th[at[1:]] != th[at[:-1]])
-            runs, of = _runs(np.cumsum(key), start[at], order[source[at]], start[source[at]])
-            first = at[np.flatnonzero(key)]
-            for k, blob in _packed(order[first], th[first], runs, np.flatnonzero(np.append(True, of[1:] != of[:-1])), parts):
+        seed, rest, order, th, start, new = (np.concatenate(x) for x in zip(*unpacked, strict=True))
+        runs, at = _runs(Index(tokens(seed, rest), order, new), order, start)
+        if len(runs):
+            edge = np.ones(len(at), bool)
+            edge[1:] = (order[at[1:]] != order[at[:-1]]) | (th[at[1:]] != th[at[:-1]])
+            groups = np.flatnonzero(edge)
+            for k, blob in _packed(order[at[groups]], th[at[groups]], runs, groups, parts):
                 out.setdefault(k, []).append(blob)
     return pa.table({"part": pa.array(list(out), pa.int64()), "data": pa.array([b"".join(v) for v in out.values()], pa.binary())})
 
@@ -256,13 +393,13 @@ def found(docs: DataFrame, window: int = WINDOW, seed: int = SEED, own_bytes: in
         yield from own.send()
 
     sent = keyed.mapInArrow(send, "bucket long, n long, data binary, ord long, th int")
-    parts = min(blocks, frames.partitions(spark))
-    given = sent.groupBy("bucket").applyInArrow(lambda t: answers(t, parts), "part long, data binary")
+    # as many parts of the answers as blocks: both keep their size, and their number grows with the text
+    given = sent.groupBy("bucket").applyInArrow(lambda t: answers(t, blocks), "part long, data binary")
     return given.groupBy("part").applyInArrow(merged, "ord long, th int, runs binary")
 
 
 def factors(packed: bytes) -> np.ndarray:
-    """RUNs of one document in order; runs that continue each other's source are one factor."""
+    """RUNs of one document in order; those that continue each other in one source, across stretches, are one factor."""
     runs = np.unique(np.frombuffer(packed, RUN))
     if not len(runs):
         return runs

@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pytest
+
 from skeinlake.llm import substring_dedup as S
 
 
@@ -46,5 +49,46 @@ def test_against_brute_force(spark):
                 assert by[r.doc_id][f.start : f.start + f.words] == by[f.source][f.source_start : f.source_start + f.words]
 
 
+def greedy(stretches):
+    """Factors of each stretch (document, windows): at each place the longest match with a smaller document, by trying all."""
+    out, at = [], np.cumsum([0, *(len(w) for _, w in stretches)]).tolist()
+    for k, (d, w) in enumerate(stretches):
+        i = 0
+        while i < len(w):
+            best = (0, 0, 0)
+            for m, (e, v) in enumerate(stretches):
+                for j in range(len(v)) if e < d else ():
+                    n = 0
+                    while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                        n += 1
+                    best = max(best, (n, -e, -(at[m] + j)))
+            if best[0]:
+                out.append((at[k] + i, best[0], -best[2]))
+            i += max(1, best[0])
+    return out
+
+
+@pytest.mark.parametrize("rounds", [S.ROUNDS, 0])
+def test_parse_is_greedy_and_longest(rounds, monkeypatch):
+    monkeypatch.setattr(S, "ROUNDS", rounds)
+    monkeypatch.setattr(S, "CHASED", 5)
+    rng = random.Random(3)
+    for _ in range(150):
+        kinds = rng.choice([1, 2, 3, 12])
+        stretches = [(rng.randrange(6), [rng.randrange(kinds) for _ in range(rng.randrange(1, 14))]) for _ in range(rng.randrange(1, 10))]
+        token = np.array([x for _, w in stretches for x in w], np.uint64)
+        order = np.array([d for d, w in stretches for _ in w])
+        new = np.array([i == 0 for _, w in stretches for i in range(len(w))])
+        assert list(zip(*(x.tolist() for x in S.Index(token, order, new).parse()))) == greedy(stretches)
+
+
+def test_long_texts_of_few_words(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("ab") for _ in range(9000)), "a " * 30_000, " ".join(rng.choice("ab") for _ in range(5000))]
+    docs = list(enumerate(texts))
+    got = S.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept, r.kept_sha256) for r in got) == brute(docs)
+
+
 def test_empty(spark):
     assert S.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -75,12 +75,14 @@ def main(argv: list[str] | None = None, session: Callable = _session) -> int:
     if o.help:
         print(USAGE)
         return 0
-    sink = None
+    sink, report, cancelled = None, None, []
 
     def interrupted(*_: object) -> None:
+        cancelled.append(True)
         raise KeyboardInterrupt
 
-    before = signal.signal(signal.SIGINT, interrupted) if os.getpid() == os.getpgid(0) else None
+    own = os.getpid() == os.getpgid(0)
+    before = {s: signal.signal(s, interrupted) for s in (signal.SIGINT, signal.SIGTERM)} if own else {}
     try:
         if o.write:
             sink = JsonArraySink(o.output, o.input, o.force)
@@ -96,7 +98,7 @@ def main(argv: list[str] | None = None, session: Callable = _session) -> int:
             for f in report.failures:
                 say(f"- item {f.item_index} | {f.failure} | {f.message}")
         if sink:
-            sink.commit()
+            sink.commit(lambda: bool(cancelled))
         return 2 if report.summary["failed"] or report.summary["duplicates"] or not report.summary["classified"] else 0
     except KeyboardInterrupt:
         code, said = 130, "cancelled; no report was left"
@@ -105,8 +107,10 @@ def main(argv: list[str] | None = None, session: Callable = _session) -> int:
     except Exception:
         code, said = 1, "error [UNEXPECTED_ERROR]"
     finally:
-        if before is not None:
-            signal.signal(signal.SIGINT, before)
+        for s, handler in before.items():
+            signal.signal(s, handler)
+        if report:
+            report.close()
         if sink and not sink.committed:
             try:
                 sink.abort()

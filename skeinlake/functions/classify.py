@@ -109,9 +109,11 @@ def errors(r: Column, **how) -> Column:
     return let(r, lambda x: _errors(x, **how))
 
 
-def _errors(r: Column, private_title: Column | None = None, private_tags: Column | None = None, expected_id: Column | None = None, minimum: Column | None = None, expected_risks: Column | None = None, must_review: Column | None = None, required: Column | None = None) -> Column:
-    """private_title, private_tags: whether the privacy detectors find something in them."""
-    private_title, private_tags, must_review = (F.lit(False) if c is None else c for c in (private_title, private_tags, must_review))
+def _errors(r: Column, fields: Column | None = None, private_title: Column | None = None, private_tags: Column | None = None, expected_id: Column | None = None, minimum: Column | None = None, expected_risks: Column | None = None, must_review: Column | None = None, required: Column | None = None) -> Column:
+    """fields: the result's field names, if they have to be checked. private_title: whether the detectors find something
+    in the title; private_tags: the same for each tag, an array."""
+    private_title, must_review = (F.lit(False) if c is None else c for c in (private_title, must_review))
+    private_tags = F.array().cast("array<boolean>") if private_tags is None else private_tags
     no = lambda c: F.coalesce(c, F.lit(False))  # noqa: E731  a null comparison isn't true
     among = lambda c, names: no(c.isin(*names))
     all_among = lambda a, names: no(F.forall(a, lambda x: x.isin(*names)))
@@ -151,7 +153,13 @@ def _errors(r: Column, private_title: Column | None = None, private_tags: Column
         (titled & private_title, "suggestedTitle 含敏感信息"),
         (titled & known & status_known & ~no(t == title(at, status)), "suggestedTitle 与 taxonomy 或 lifecycleStatus 不一致"),
         (tags.isNull() | no(F.exists(tags, lambda x: x.isNull())), "tags 无效"),
-        (no(F.size(tags) > 8), "tags 数量超过 8"), (no(F.exists(tags, lambda x: ~F.length(x).between(1, 32))), "tags 长度无效"), (private_tags, "tags 含敏感信息"),
+        (no(F.size(tags) > 8), "tags 数量超过 8"),
+    ]
+    tagged = no(F.size(tags) >= 0) & ~no(F.exists(tags, lambda x: x.isNull()))
+    named = lambda i, what: F.concat(F.lit("tags["), i.cast("string"), F.lit(f"] {what}"))
+    by_tag = lambda x, i: F.array(F.when(~F.length(x).between(1, 32), named(i, "长度无效")), F.when(no(F.get(private_tags, i)), named(i, "含敏感信息")))
+    of_tags = F.when(tagged, F.array_compact(F.flatten(F.transform(tags, by_tag)))).otherwise(F.array().cast("array<string>"))
+    after = [
         (tags.isNotNull() & known & status_known & ~no(tags == F.array(r["primaryCategoryId"], status)), "tags 与 taxonomy 或 lifecycleStatus 不一致"),
         (~conf_ok, "fieldConfidence 无效"), (~risks_ok, "riskFlags 无效"),
         (risks_ok & ~no(F.array_sort(r["riskFlags"]) == F.array_sort(expected_risks)) if expected_risks is not None else F.lit(False), "riskFlags 与确定性扫描结果不一致"),
@@ -164,4 +172,5 @@ def _errors(r: Column, private_title: Column | None = None, private_tags: Column
         (~no(r["classifierProvider"] == P.PROVIDER), "classifierProvider 无效"), (~no(r["classifierVersion"] == P.TAXONOMY_VERSION), "classifierVersion 无效"),
         (~no(F.rlike(r["createdAt"], F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{3}Z\z")) & F.try_to_timestamp(r["createdAt"]).isNotNull()), "createdAt 无效"),
     ]
-    return _if(*checks)
+    named_fields = F.array().cast("array<string>") if fields is None else field_errors(fields)
+    return F.concat(named_fields, _if(*checks), of_tags, _if(*after))

@@ -108,9 +108,27 @@ def _chain(text: Column, detectors: Sequence[P.Detector]) -> Column:
     return state
 
 
+@lru_cache(8)
+def _built(session: int, name: str, detectors: tuple[P.Detector, ...], each: bool) -> Column:
+    """The chain over a column, or over each text of an array. A plan's expression takes thousands of calls to build, and
+    is the same for every frame that has a column of that name: it is built once a session."""
+    return F.transform(F.col(name), lambda t: _chain(t, detectors)) if each else _chain(F.col(name), detectors)
+
+
+def _chained(df: DataFrame, name: str, detectors: tuple[P.Detector, ...], each: bool) -> Column:
+    return _built(id(df.sparkSession._jvm), name, detectors, each)
+
+
+def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with value as a column of its own: by a generator, below which no filter on it is pushed, so that it stands in
+    the plan once."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def scan(df: DataFrame, text: str, redacted: str = "redacted") -> DataFrame:
     """df with the rewritten text and n_<TYPE> of every secret detector. A null text is empty."""
-    df = df.withColumn("_s", _chain(F.col(text), (*P.SECRETS, P.ENTROPY)))
+    df = df.withColumn("_text", F.col(text))
+    df = _held(df, "_s", _chained(df, "_text", (*P.SECRETS, P.ENTROPY), False)).drop("_text")
     return df.withColumns({redacted: F.col("_s.t")} | {f"n_{t}": F.element_at("_s.n", i + 1) for i, t in enumerate(P.SECRET_TYPES)}).drop("_s")
 
 
@@ -195,20 +213,30 @@ def redact_lines(text: str) -> tuple[str, int]:
 
 
 def _line_rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns _t and _n after redact_lines; the other columns pass through as they are."""
+    """Columns _t and _n, lists of texts and of findings, after redact_lines; the other columns pass through as they are."""
     for b in batches:
-        texts = b.column("_t").to_pylist()
-        found = [redact_lines(t) if "/" in t or "\\" in t else (t, 0) for t in texts]
-        n = pa.array([x + y for (_, x), y in zip(found, b.column("_n").to_pylist(), strict=True)], pa.int64())
-        own = {"_t": pa.array([t for t, _ in found], b.column("_t").type), "_n": n}
-        yield pa.RecordBatch.from_arrays([own.get(name, b.column(name)) for name in b.schema.names], names=b.schema.names)
+        texts, counts = b.column("_t").to_pylist(), b.column("_n").to_pylist()
+        if any("/" in t or "\\" in t for own in texts for t in own):
+            found = [[redact_lines(t) if "/" in t or "\\" in t else (t, 0) for t in own] for own in texts]
+            texts = [[t for t, _ in own] for own in found]
+            counts = [[x + y for (_, x), y in zip(own, n, strict=True)] for own, n in zip(found, counts, strict=True)]
+        own = {"_t": pa.array(texts, b.column("_t").type), "_n": pa.array(counts, b.column("_n").type)}
+        yield pa.RecordBatch.from_arrays([own.get(name, b.column(name)) for name in b.schema.names], schema=b.schema)
+
+
+def sanitize_all(df: DataFrame, texts: Column, out: str, findings: str) -> DataFrame:
+    """df with an array of texts, none of them null, rewritten by all secret and privacy detectors, and the findings in each."""
+    df = df.withColumn("_texts", texts)
+    df = _held(df, "_s", _chained(df, "_texts", (*P.SECRETS, P.ENTROPY, *P.PRIVACY), True)).drop("_texts")
+    total = lambda s: F.aggregate(s["n"], F.lit(0), lambda acc, x: acc + x).cast("long")
+    df = df.withColumns({"_t": F.transform("_s", lambda s: s["t"]), "_n": F.transform("_s", total)}).drop("_s")
+    return df.mapInArrow(_line_rules, df.schema).withColumnsRenamed({"_t": out, "_n": findings})
 
 
 def sanitize(df: DataFrame, text: str, out: str = "sanitized", findings: str = "findings") -> DataFrame:
     """df with the text rewritten by all secret and privacy detectors, and the number of findings."""
-    df = df.withColumn("_s", _chain(F.col(text), (*P.SECRETS, P.ENTROPY, *P.PRIVACY)))
-    df = df.withColumns({"_t": F.col("_s.t"), "_n": F.aggregate("_s.n", F.lit(0), lambda acc, x: acc + x).cast("long")}).drop("_s")
-    return df.mapInArrow(_line_rules, df.schema).withColumnsRenamed({"_t": out, "_n": findings})
+    df = sanitize_all(df, F.array(F.coalesce(F.col(text), F.lit(""))), "_ts", "_ns")
+    return df.withColumns({out: F.element_at("_ts", 1), findings: F.element_at("_ns", 1)}).drop("_ts", "_ns")
 
 
 def context(sanitized: Column) -> Column:

@@ -7,19 +7,22 @@ sample. One shuffle by reference finds duplicates.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, redact
 from ..functions import patterns as P
-from ..operators import dedup, segments
+from ..operators import dedup, deep, segments
 
 NOW = "1970-01-01T00:00:00.000Z"
 KEY = ["path", "item_index"]
 
 
-def classified(canonical: DataFrame, now: str = NOW) -> DataFrame:
-    """A row an item: path, item_index, failure, duplicate, and for the others reference, scan and result."""
+def classified(canonical: DataFrame, now: str = NOW, seen: DataFrame | None = None) -> DataFrame:
+    """A row an item: path, item_index, failure, duplicate, and for the others reference, scan and result.
+    seen: references (ref) that came before; an item with one of them is a duplicate."""
     parsed = canonical.where("failure IS NULL").withColumn("path", F.coalesce("path", F.lit(""))).withColumn("ref", dedup.reference(F.col("source_id")))
     broken = canonical.where("failure IS NOT NULL").select(F.coalesce("path", F.lit("")).alias("path"), "item_index", "failure")
     scans = segments.scans(parsed, KEY)
@@ -28,21 +31,38 @@ def classified(canonical: DataFrame, now: str = NOW) -> DataFrame:
     s = scans.withColumnsRenamed({k: f"s_{k}" for k in KEY})
     joined = light.join(s, light["path"].eqNullSafe(s["s_path"]) & light["item_index"].eqNullSafe(s["s_item_index"])).drop(*[f"s_{k}" for k in KEY])
     marked = dedup.first_wins(joined, "ref", KEY)
+    if seen is not None:
+        before = seen.select("ref").distinct().withColumn("before", F.lit(True))
+        marked = marked.join(before, "ref", "left").withColumn("duplicate", F.col("duplicate") | F.coalesce("before", F.lit(False))).drop("before")
     fresh = marked.where(~F.col("duplicate"))
     again = marked.where("duplicate").select(*KEY, "duplicate", "ref", "hard", "candidate")
     text = F.array_join(F.concat(F.array("classification_title"), F.col("sampled")), "\n")
     seen = redact.sanitize(fresh.withColumn("context", text), "context").withColumn("context", F.lower(redact.context(F.col("sanitized")))).drop("sanitized", "findings")
-    chosen = seen.withColumn("selected", classify.selection(F.col("context"))).withColumn("status", classify.lifecycle(F.col("context"))).drop("context")
+    columns = _columns(id(canonical.sparkSession._jvm), now)
+    chosen = seen.withColumn("selected", columns["selected"]).withColumn("status", columns["status"]).drop("context")
+    done = _cleaned(chosen.withColumn("r", columns["result"]))
+    names = done.schema["r"].dataType.names
+    done = done.withColumn("fields", F.array(*[F.lit(n) for n in names])).withColumn("wrong", columns["wrong"]).drop("fields")
+    failure = F.when(F.size("wrong") > 0, "CLASSIFICATION_INVALID").when(F.col("item_failure").isNotNull(), "OUTPUT_SANITIZATION_FAILED")
+    done = done.withColumn("failure", failure).withColumn("detail", F.when(F.size("wrong") > 0, F.array_join("wrong", "；")).otherwise(F.col("item_failure"))).drop("wrong", "item_unsafe", "item_findings", "item_failure")
+    return done.unionByName(again, allowMissingColumns=True).unionByName(broken, allowMissingColumns=True).withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
+
+
+@lru_cache(8)
+def _columns(session: int, now: str) -> dict[str, Column]:
+    """The classifier's and the contract's expressions over the columns of classified(), built once a session."""
     c = F.col
-    result = classify.classification(c("ref"), c("selected"), c("status"), c("hard"), c("candidate"), c("current"), c("available"), c("truncated"), now)
     risks = F.array_compact(F.array(F.when(c("hard"), P.RISK_FLAGS[0]), F.when(c("candidate"), P.RISK_FLAGS[1])))
     required = F.concat(risks, F.array_compact(F.array(F.when(~c("current"), "BRANCH_FALLBACK"), F.when(~c("available"), "EMPTY_CONTENT"), F.when(c("truncated"), "CONTENT_TRUNCATED"))))
     level = redact.level(c("hard"), c("candidate"))
-    done = chosen.withColumn("r", result)
-    wrong = classify.errors(c("r"), expected_id=c("ref"), minimum=level, expected_risks=risks, must_review=(level == "S3") | c("candidate") | ~c("current") | ~c("available") | c("truncated"), required=required)
-    done = done.withColumn("failure", F.when(F.size(wrong) > 0, "CLASSIFICATION_INVALID"))
-    done = _output_checked(done)
-    return done.unionByName(again, allowMissingColumns=True).unionByName(broken, allowMissingColumns=True).withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
+    found = lambda path: F.array_contains("item_unsafe", path)  # noqa: E731  paths of strings that had findings
+    wrong = classify.errors(
+        c("r"), fields=c("fields"), private_title=found(f"{OUTPUT}.suggestedTitle"),
+        private_tags=F.transform("r.tags", lambda _, i: found(F.concat(F.lit(f"{OUTPUT}.tags["), i.cast("string"), F.lit("]")))),
+        expected_id=c("ref"), minimum=level, expected_risks=risks, must_review=(level == "S3") | c("candidate") | ~c("current") | ~c("available") | c("truncated"), required=required,
+    )
+    result = classify.classification(c("ref"), c("selected"), c("status"), c("hard"), c("candidate"), c("current"), c("available"), c("truncated"), now)
+    return {"selected": classify.selection(c("context")), "status": classify.lifecycle(c("context")), "result": result, "wrong": wrong}
 
 
 def report_item() -> Column:
@@ -54,13 +74,14 @@ def report_item() -> Column:
     return F.struct(F.col("ref").alias("conversationRef"), F.col("message_count").alias("messageCount"), mode.alias("branchMode"), F.col("truncated").alias("classificationTruncated"), security.alias("security"), F.col("r").alias("classification"))
 
 
-def _output_checked(done: DataFrame) -> DataFrame:
-    """Rows whose output, as JSON, still shows a finding fail. Known counters are scanned as pairs, not as fields."""
-    pairs = F.filter(F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"n_{t}").alias("n")) for t in P.SECRET_TYPES]), lambda e: e["n"] > 0)
-    item = report_item()
-    scanned = F.concat_ws("\n", F.col("ref"), F.to_json(F.col("r")), F.to_json(F.transform(pairs, lambda e: F.array(e["t"], e["n"].cast("string")))))
-    checked = redact.sanitize(done.withColumn("item", item).withColumn("_json", scanned), "_json", "_clean", "_found")
-    return checked.withColumn("failure", F.coalesce("failure", F.when(F.col("_found") > 0, "OUTPUT_SANITIZATION_FAILED"))).drop("_json", "_clean", "_found")
+OUTPUT = "output.classification"
+
+
+def _cleaned(done: DataFrame) -> DataFrame:
+    """done with item, what is reported, all of its strings sanitised; item_unsafe, the paths that had findings; and
+    item_failure where the sanitised item or its JSON still shows one. Only what was rewritten is looked at twice."""
+    clean = deep.sanitized(done.withColumn("item", report_item()), "item")
+    return deep.assessed(clean, "item", F.col("item_findings") > 0)
 
 
 COUNTERS = ("totalItems", "classified", "duplicates", "failed", "currentBranchParsed", "branchFallbacks", "contentUnavailable", "classificationTruncated", "s3", "s3Candidates", "suggestedAccept", "requiresReview")
@@ -86,17 +107,29 @@ def failure_text(code: Column) -> Column:
     return out
 
 
+def _checked(one: DataFrame, event: Column) -> DataFrame:
+    """The one event's JSON; an unsafe one ends the run."""
+    seen = deep.assessed(one.select(event.alias("output")), "output")
+    said = F.concat(F.lit("OUTPUT_SANITIZATION_FAILED: "), F.col("output_failure"))
+    return seen.select(F.when(F.col("output_failure").isNull(), F.to_json("output", {"ignoreNullFields": "false"})).otherwise(F.raise_error(said)).alias("json"))
+
+
 def events(rows: DataFrame, source: Column, now: str = NOW) -> DataFrame:
-    """section, item_index and json: a header, an event for each item that isn't a duplicate in file order, the summary."""
+    """section, item_index and json: a header, an event for each item that isn't a duplicate in file order, the summary.
+
+    rows is used for the items and for the counters: hand over stored or persisted rows. Items are checked as they are
+    classified, failures say fixed texts; header and summary are checked here."""
     spark = rows.sparkSession
     as_json = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
-    one = spark.range(1)
-    header = one.select(F.lit(0).alias("section"), F.lit(-1).cast("long").alias("item_index"), as_json(F.struct(F.lit("header").alias("type"), F.lit(P.SCHEMA_VERSION).alias("schemaVersion"), F.lit(now).alias("generatedAt"), source.alias("source"))).alias("json"))
-    fine = rows.where("failure IS NULL AND NOT duplicate").select(F.lit(1).alias("section"), "item_index", as_json(F.struct(F.lit("conversation").alias("type"), F.col("item").alias("data"))).alias("json"))
-    failed = rows.where("failure IS NOT NULL").select(F.lit(1).alias("section"), "item_index", as_json(F.struct(F.lit("failure").alias("type"), F.struct(F.col("item_index").alias("itemIndex"), F.col("failure").alias("code"), failure_text(F.col("failure")).alias("message")).alias("data"))).alias("json"))
+    header = _checked(spark.range(1), F.struct(F.lit("header").alias("type"), F.lit(P.SCHEMA_VERSION).alias("schemaVersion"), F.lit(now).alias("generatedAt"), source.alias("source")))
+    header = header.select(F.lit(0).alias("section"), F.lit(-1).cast("long").alias("item_index"), "json")
+    conversation = as_json(F.struct(F.lit("conversation").alias("type"), F.col("item").alias("data")))
+    failed = as_json(F.struct(F.lit("failure").alias("type"), F.struct(F.col("item_index").alias("itemIndex"), F.col("failure").alias("code"), failure_text(F.col("failure")).alias("message")).alias("data")))
+    items = rows.where("NOT duplicate").select(F.lit(1).alias("section"), "item_index", F.when(F.col("failure").isNull(), conversation).otherwise(failed).alias("json"))
     privacy = F.struct(F.lit(False).alias("networkUsed"), F.lit(False).alias("rawMessageBodiesIncluded"), F.lit(False).alias("originalTitlesIncluded"), F.lit(False).alias("sensitiveValuesIncluded"), F.lit(True).alias("crossRunLinkable"))
-    end = summary(rows).select(F.lit(2).alias("section"), F.lit(-1).cast("long").alias("item_index"), as_json(F.struct(F.lit("summary").alias("type"), F.struct(*COUNTERS).alias("summary"), privacy.alias("privacy"))).alias("json"))
-    return header.unionByName(fine).unionByName(failed).unionByName(end).orderBy("section", "item_index")
+    end = _checked(summary(rows), F.struct(F.lit("summary").alias("type"), F.struct(*COUNTERS).alias("summary"), privacy.alias("privacy")))
+    end = end.select(F.lit(2).alias("section"), F.lit(-1).cast("long").alias("item_index"), "json")
+    return header.unionByName(items).unionByName(end).orderBy("section", "item_index")
 
 
 def source_token(sha256: Column) -> Column:

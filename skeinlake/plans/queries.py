@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, redact
 from ..functions import patterns as P
-from ..operators import dedup, segments
+from ..operators import dedup, deep, segments
 from ..sources import export, tables
-from . import curate
+from . import curate, policy
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,9 +196,9 @@ def fx_validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SECRET_TEXTS = """SELECT * FROM (VALUES
-  (1, '-----BEGIN ' || 'PRIVATE KEY-----'), (2, 'use sk-' || repeat('Ab3_', 6) || ' now'), (3, 'AKIA' || repeat('D', 16)), (4, 'Authorization: Bearer abcdefghijklmnop'), (5, 'Basic U3ludGhldGlj'),
-  (6, 'DB_PASSWORD=' || 'synthetic'), (7, 'api-key: "two words"'), (8, '密码=短'), (9, 'Cookie: session=1'), (10, 'postgres://u:p@example.invalid/db'), (11, 'xoxb-' || repeat('1234567890-', 2)), (12, 'nothing'),
-  (13, 'password=x password=y'), (14, 'github_pat_' || repeat('Synthetic9_', 3)), (15, 'MYPASSWORD=z'), (16, 'A__PASSWORD=z'), (17, 'hf_' || repeat('J', 20) || ' and npm_' || repeat('I', 20)), (18, 'pwd =' || chr(9) || 'q')
+  (1, 'key: -----BEGIN EC ' || 'PRIVATE KEY----- (cut)'), (2, 'deploy with sk-' || repeat('q7Rt', 5) || '.'), (3, 'ASIA' || repeat('7Q', 8)), (4, 'curl -H bearer ' || repeat('nq4.', 4)), (5, 'basic ' || repeat('Zm9v', 3) || '=='),
+  (6, 'ORDERS_PWD : ' || 'harvest'), (7, 'client-secret: "red green blue"'), (8, '密码：no, 密码 = 四季'), (9, 'set-cookie : theme=dark'), (10, 'see amqp://joe:pw@mq.test/v'), (11, 'xoxp-' || repeat('55443-', 3) || '0'), (12, 'a plain sentence'),
+  (13, 'pwd=1, passwd=2, pwd=3'), (14, 'github_pat_' || repeat('m0_N', 6)), (15, 'NOPWD=z'), (16, 'x__PWD=z'), (17, 'glpat-' || repeat('w', 18) || ' or npm_' || repeat('u', 22)), (18, 'api_key' || chr(9) || '=' || chr(9) || 'k')
 ) AS t(id, text)"""
 _SQL_DETECTORS = {
     "PRIVATE_KEY": r"(?i)-----BEGIN (?:(?:RSA|EC|OPENSSH|DSA|ENCRYPTED) )?PRIVATE KEY-----|-----BEGIN PGP PRIVATE KEY BLOCK-----",
@@ -253,13 +253,13 @@ def fx_branch_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("source_id").alias("item"), F.posexplode("sampled")).select("item", (F.col("pos") + 1).cast("long").alias("pos"), F.col("col").alias("text"))
 
 
-VIEWS = """SELECT * FROM (VALUES (1, 0, 0, 'A', 2), (1, 0, 1, 'A', 3), (1, 0, 1, 'B', 1), (1, 1, 0, 'A', 1), (2, 0, 0, 'B', 4), (2, 0, 1, 'B', 4), (2, 1, 0, 'C', 1)) AS t(item, message, view, type, cnt)"""
-
-
-@query(f"SELECT item::BIGINT AS item, type, sum(m)::BIGINT AS cnt FROM (SELECT item, message, type, max(cnt) AS m FROM ({VIEWS}) GROUP BY ALL) GROUP BY item, type")
-def fx_segment_max_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = spark.sql(VIEWS).groupBy("item", "message", "type").agg(F.max("cnt").alias("m"))
-    return by.groupBy(F.col("item").cast("long").alias("item"), "type").agg(F.sum("m").cast("long").alias("cnt"))
+@query(f"""WITH {MESSAGES_SQL}, f AS (SELECT conv_id, text FROM v), {', '.join(_SQL_STEPS)}
+SELECT conv_id, type, sum(cnt)::BIGINT AS cnt FROM (""" + " UNION ALL ".join(f"SELECT conv_id, '{k}' AS type, c{i} AS cnt FROM {_from}" for i, k in enumerate(_SQL_DETECTORS)) + ") GROUP BY conv_id, type HAVING sum(cnt) > 0")
+def conv_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secret scan of whole conversations: messages' counts, added up."""
+    c = tables.conversations(tables.table(spark, sf_dir, "conversations"))
+    rows = F.array(*[F.struct(F.lit(k).alias("type"), F.col(f"n_{k}").alias("cnt")) for k in _SQL_DETECTORS])
+    return segments.scans(c, ["item_index"]).select(F.col("item_index").alias("conv_id"), F.inline(rows)).where("cnt > 0")
 
 
 PARTED = "SELECT * FROM (VALUES (1, 'sk-', repeat('Synthetic9_', 2), ''), (2, 'password=x', ' password=y', ''), (3, 'pass', 'word=z', ' plain')) AS t(id, a, b, c)"
@@ -275,17 +275,21 @@ def fx_multipart_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.scans(f, ["id"]).select("id", F.col("n_API_KEY").alias("api_keys"), F.col("n_PASSWORD_FIELD").alias("passwords"))
 
 
+#: Lines and what the privacy detectors make of them.
 LINES = """SELECT * FROM (VALUES
-  (1, '/Users/example/private/conversations.json', 1), (2, '/var/f/a', 1), (3, 'file:///var/a', 2), (4, '请看file:///var/private/a', 2), (5, 'C:/Users/example/private report.json', 1), (6, '路径:/var/private report.json', 1), (7, '文件在/var/a', 1),
-  (8, 'https://example.com/path', 0), (9, 'ftp://files.example.com/pub/a.txt', 0), (10, '//cdn.example.com/a', 0), (11, '1/2', 0), (12, '和/或', 0), (13, '性别：男/女/其他', 0), (14, 'input/private/output', 0), (15, 'docs/var/config', 0),
-  (16, '请看/Users/example/private.txt', 1), (17, '配置/我的/私密/目录 请查看', 1), (18, 'http://localhost:3000/report', 0), (19, 'alice@example.com', 1), (20, '+44 7700 900123', 1), (21, '0044 7700 900123', 1), (22, '(415) 555-2671', 1), (23, '415.555.2671', 1),
-  (24, '2026-09-16', 0), (25, '09:30', 0), (26, '计数 0000 1234', 0), (27, '计数 012345678', 0), (28, '192.168.1.1', 0), (29, '13800138000', 1), (30, '共 12345678 条', 0)
-) AS t(id, text, n)"""
+  (1, '/home/mia/notes/plan.md', '[REDACTED:POSIX_ABSOLUTE_PATH]'), (2, 'open /srv/q/z now', '[REDACTED:POSIX_ABSOLUTE_PATH]'), (3, 'file:///opt/data.csv', '[REDACTED:LOCAL_FILE_URI]'), (4, '打开file:///home/mia/x', '[REDACTED:LOCAL_FILE_URI]'),
+  (5, 'D:/work/mia/draft two.txt', '[REDACTED:POSIX_ABSOLUTE_PATH]'), (6, '目录:/srv/team/budget.xls', '[REDACTED:POSIX_ABSOLUTE_PATH]'), (7, '位置在/opt/b', '[REDACTED:CJK_PATH_CUE]'), (29, 'D:' || chr(92) || 'mia' || chr(92) || 'a.txt', '[REDACTED:WINDOWS_ABSOLUTE_PATH]'),
+  (8, 'http://docs.test/guide', 'http://docs.test/guide'), (9, 'sftp://mirror.test/iso/a.img', 'sftp://mirror.test/iso/a.img'), (10, '//assets.test/logo', '//assets.test/logo'), (11, '3/4', '3/4'), (12, '猫/狗', '猫/狗'), (13, '颜色：红/绿/蓝', '颜色：红/绿/蓝'),
+  (14, 'a/private/b', 'a/private/b'), (15, 'src/etc/tool', 'src/etc/tool'), (16, 'mia@post.test', '[REDACTED:EMAIL]'), (17, 'write to Mia.K+x@a-b.test, please', 'write to [REDACTED:EMAIL], please'), (18, 'ring +49 30 1234567 today', 'ring [REDACTED:PHONE_NUMBER] today'),
+  (19, '0049 30 1234567', '[REDACTED:PHONE_NUMBER]'), (20, '(030) 123-4567', '[REDACTED:PHONE_NUMBER]'), (21, '212.555.0147', '[REDACTED:PHONE_NUMBER]'), (22, '1999-12-31', '1999-12-31'), (23, '23:59', '23:59'), (24, '10.1.2.3', '10.1.2.3'),
+  (25, '15912345678', '[REDACTED:CN_MOBILE]'), (26, '+86 15912345678.', '[REDACTED:CN_MOBILE].'), (27, '共 87654321 件', '共 87654321 件'), (28, 'http://localhost:8080/x', 'http://localhost:8080/x')
+) AS t(id, text, expected)"""
 
 
-@query(f"SELECT id::BIGINT AS id, n > 0 AS private FROM ({LINES})")
+@query(f"SELECT id::BIGINT AS id, expected AS sanitized, (text <> expected)::BIGINT AS findings FROM ({LINES})")
 def fx_privacy_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact.sanitize(spark.sql(LINES).select("id", "text"), "text").select(F.col("id").cast("long").alias("id"), (F.col("findings") > 0).alias("private"))
+    """What the detectors make of each line, and their findings."""
+    return redact.sanitize(spark.sql(LINES).select("id", "text"), "text").select(F.col("id").cast("long").alias("id"), "sanitized", "findings")
 
 
 @query("""SELECT doc_id, sha256(CASE WHEN length(text) > 32768 THEN left(text, 16384) || chr(10) || '[CONTENT_TRUNCATED]' || chr(10) || right(text, 16384) ELSE text END) AS sha, length(text) > 32768 AS truncated FROM documents""")
@@ -319,25 +323,36 @@ _LUHN_SQL = "list_sum(list_transform(range(1, length(g) + 1), lambda i: CASE WHE
 
 
 @query(rf"""
-WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:[0-9][ -]?)*[0-9]')) AS run FROM documents),
-c AS (SELECT doc_id, regexp_replace(run, '[ -]', '', 'g') AS g FROM r)
-SELECT doc_id, count(*) AS n FROM c WHERE length(g) BETWEEN 13 AND 19 AND {_LUHN_SQL} % 10 = 0 AND length(replace(g, left(g, 1), '')) > 0 GROUP BY doc_id""")
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:[0-9][ -]?)*[0-9]')) AS run FROM documents),
+p AS (SELECT doc_id, row_number() OVER () AS n, regexp_extract_all(run, '[0-9]+') AS parts FROM r),
+w AS (
+  SELECT doc_id, n, parts, 1::BIGINT AS i, NULL::VARCHAR AS g FROM p
+  UNION ALL
+  SELECT doc_id, n, parts, coalesce(j, i) + 1, array_to_string(parts[i : j], '') FROM (
+    SELECT *, list_max(list_filter(range(i, len(parts) + 1), lambda k: length(array_to_string(parts[i : k], '')) BETWEEN 13 AND 19)) AS j FROM w WHERE i <= len(parts)))
+SELECT doc_id, count(*) AS n FROM (SELECT doc_id, g FROM w WHERE length(g) BETWEEN 13 AND 19) WHERE {_LUHN_SQL} % 10 = 0 AND length(replace(g, left(g, 1), '')) > 0 GROUP BY doc_id""")
 def doc_bank_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Card numbers that pass the check. Runs of more than 19 digits, which the pattern may cut, don't occur in the tables."""
-    d = redact.scan(tables.table(spark, sf_dir, "documents").where("rlike(text, '[0-9]{4}')").select("doc_id", "text"), "text")
+    """Card numbers that pass the check. The SQL goes over each run of digit groups as the pattern does: from a group on it
+    takes as many as make 13 to 19 digits, and then goes on behind them, or at the next group if there are none."""
+    d = redact.scan(tables.table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     return d.select("doc_id", F.col("n_BANK_CARD").cast("long").alias("n")).where("n > 0")
 
 
-@query(r"""
-WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{32,}')) AS run FROM documents),
+_RUNS_SQL = "unnest(regexp_extract_all(text || ' ' || base64(unhex(sha256(text))) || ' ' || sha256(text), '[A-Za-z0-9+/=_-]{32,}'))"
+
+
+@query(rf"""
+WITH r AS (SELECT doc_id, {_RUNS_SQL} AS run FROM documents),
 e AS (SELECT doc_id, list_aggregate(list_transform(list_distinct(string_split(run, '')), lambda c: -((length(run) - length(replace(run, c, ''))) / length(run)) * log2((length(run) - length(replace(run, c, ''))) / length(run))), 'sum') AS bits, len(list_distinct(string_split(run, ''))) AS kinds FROM r)
 SELECT doc_id, count(*) AS n FROM e WHERE kinds >= 10 AND bits >= 4.2 GROUP BY doc_id""")
 def doc_high_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = tables.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(P.ENTROPY.pattern), F.lit(0))).alias("run"))
+    """Each document with its digest in two forms behind it: in base 64 a candidate mostly, in hexadecimal never."""
+    planted = F.concat("text", F.lit(" "), F.base64(F.unhex(F.sha2("text", 256))), F.lit(" "), F.sha2("text", 256))
+    runs = tables.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(planted, F.lit(P.ENTROPY.pattern), F.lit(0))).alias("run"))
     return runs.where(redact.entropy(F.col("run"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-ENTROPY_TEXTS = "SELECT * FROM (VALUES (1, 'aZ9+/bY8_=cX7-dW6eV5fU4gT3hS2iR1jQ0kP'), (2, repeat('a', 40)), (3, repeat('abcdefghij', 4)), (4, repeat('0123456789abcdef', 3)), (5, 'short'), (6, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefgh')) AS t(id, run)"
+ENTROPY_TEXTS = "SELECT * FROM (VALUES (1, 'p0Lk-9mN_b8V/c7X+z6A=s5D-f4G_h3J/k2Q'), (2, repeat('z', 44)), (3, repeat('qwertyuiop', 5)), (4, repeat('fedcba9876543210', 2)), (5, 'tiny'), (6, 'zyxwvutsrqponmlkjihgfedcbaZYXWVUT')) AS t(id, run)"
 
 
 @query(f"""
@@ -348,12 +363,16 @@ def fx_high_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("id").cast("long").alias("id"), redact.candidate().alias("candidate"))
 
 
-@query(r"""
-WITH r AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[0-9]+')) AS run FROM documents)
-SELECT doc_id, count(*) AS n FROM r WHERE regexp_full_match(run, '(86)?1[3-9][0-9]{9}') GROUP BY doc_id""")
+#: A number in front of each text: mobile numbers with and without a country code, and numbers that are none.
+_MOBILE = "concat(CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '86' WHEN 2 THEN '+86-' ELSE '2' END, CAST(10000000000 + (doc_id * 7919) % 10000000000 AS STRING), ' ')"
+
+
+@query(rf"""
+WITH r AS (SELECT doc_id, unnest(regexp_extract_all({_MOBILE} || text, '[0-9]+')) AS run FROM documents)
+SELECT doc_id, count(*) AS n FROM r WHERE regexp_full_match(run, '(86)?1[3-9][0-9]{{9}}') GROUP BY doc_id""")
 def doc_cn_mobile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chinese mobile numbers as whole runs of digits, before any other rewrite; runs that start with a country code and a separator count by their last part."""
-    d = tables.table(spark, sf_dir, "documents").where("rlike(text, '[0-9]{11}')")
+    """Chinese mobile numbers as whole runs of digits, with one planted before each text; a country code with a separator is a run of its own."""
+    d = tables.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.expr(_MOBILE), F.col("text")).alias("text"))
     return d.select("doc_id", F.regexp_count("text", F.lit(P.PRIVACY[1].pattern)).cast("long").alias("n")).where("n > 0")
 
 
@@ -389,21 +408,84 @@ def conv_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("failure IS NULL AND NOT duplicate").select(F.col("item_index").alias("conv_id"), F.col("r.primaryCategoryId").alias("category"), F.col("r.lifecycleStatus").alias("status"), F.col("r.sensitivityLevel").alias("level"), F.col("r.requiresReview").alias("review"))
 
 
-@query("""
-WITH n AS (SELECT count(DISTINCT conv_id) AS n FROM conversations)
-SELECT section::BIGINT AS section, kind, (CASE kind WHEN 'conversation' THEN n ELSE 1 END)::BIGINT AS n_events FROM n, (VALUES (0, 'header'), (1, 'conversation'), (2, 'summary')) AS t(section, kind)""")
+_TAXONOMY_SQL = "(VALUES " + ", ".join(f"({_q(c.id)}, {_q(c.label)}, {_q(c.object)}, {_q(c.intent)}, {_q(c.deliverable)}, {_q(c.value)})" for c in P.TAXONOMY) + ") AS x(cid, label, object, intent, deliverable, value)"
+_STATUS_SQL = "(VALUES " + ", ".join(f"({_q(k)}, {_q(v)})" for k, v in P.STATUS_LABELS.items()) + ") AS y(sid, status_label)"
+_REPORT_SQL = f"""{_CONV_SQL},
+u AS (SELECT conv_id, text FROM v), {', '.join(x.replace(' FROM f)', ' FROM u)') if x.startswith('d0 ') else x for x in _SQL_STEPS)},
+mc AS (SELECT conv_id, string_agg('"' || type || '":' || cnt, ',' ORDER BY rank) AS counts FROM (SELECT conv_id, type, rank, sum(cnt)::BIGINT AS cnt FROM (""" + " UNION ALL ".join(f"SELECT conv_id, '{k}' AS type, {i} AS rank, c{i} AS cnt FROM {_from}" for i, k in enumerate(_SQL_DETECTORS)) + f""") GROUP BY ALL HAVING sum(cnt) > 0) GROUP BY conv_id),
+z AS (SELECT f.*, x.*, y.*, '[' || label || '] 整理' || object || ' · ' || status_label AS title, coalesce(mc.counts, '') AS counts,
+  (SELECT count(*) FROM v WHERE v.conv_id = f.id) AS n_messages, 'conv:' || (SELECT {GROUPED} FROM (SELECT sha256('chatgpt:' || f.id::VARCHAR) AS h)) AS ref, CASE WHEN hard THEN 'S3' ELSE 'S0' END AS level,
+  CASE WHEN score = 0 THEN 0.3::DOUBLE WHEN tied THEN 0.5::DOUBLE WHEN score = 1 THEN 0.68::DOUBLE ELSE 0.84::DOUBLE END AS sure, CASE WHEN status = 'active' THEN 0.55::DOUBLE ELSE 0.8::DOUBLE END AS settled,
+  NOT (score >= 2 AND NOT tied AND status <> 'active' AND available AND NOT hard) AS review, NOT (score >= 2 AND NOT tied AND status <> 'active') AS low
+  FROM f JOIN {_TAXONOMY_SQL} ON f.category = x.cid JOIN {_STATUS_SQL} ON f.status = y.sid LEFT JOIN mc ON f.id = mc.conv_id)"""
+
+
+@query(f"{_REPORT_SQL} SELECT id AS conv_id, title, to_json([category, status])::VARCHAR AS tags, sure, settled FROM z")
+def conv_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggested title, tags and confidences of every conversation, through the whole plan."""
+    d = curate.classified(tables.conversations(tables.table(spark, sf_dir, "conversations"))).where("failure IS NULL AND NOT duplicate")
+    sure = F.col("r.fieldConfidence")
+    return d.select(F.col("item_index").alias("conv_id"), F.col("r.suggestedTitle").alias("title"), F.to_json("r.tags").alias("tags"), sure["suggestedTitle"].alias("sure"), sure["lifecycleStatus"].alias("settled"))
+
+
+@query(f"""{_REPORT_SQL}
+SELECT 0::BIGINT AS section, -1::BIGINT AS item_index, json_object('type', 'header', 'schemaVersion', '{P.SCHEMA_VERSION}', 'generatedAt', '{curate.NOW}', 'source', json_object('platform', 'chatgpt', 'fileName', 'conversations.json', 'sha256', 'sha256:' || left(repeat('00000000:', 8), 71), 'sizeBytes', 0))::VARCHAR AS json
+UNION ALL SELECT 1, id, json_object('type', 'conversation', 'data', json_object('conversationRef', ref, 'messageCount', n_messages, 'branchMode', 'current', 'classificationTruncated', false,
+  'security', json_object('sensitivityLevel', level, 'hardMatch', hard, 'candidateMatch', false, 'riskFlags', CASE WHEN hard THEN '["SENSITIVE_PATTERN"]' ELSE '[]' END::JSON, 'matchCounts', ('{{' || counts || '}}')::JSON),
+  'classification', json_object('conversationId', ref, 'taxonomyVersion', '{P.TAXONOMY_VERSION}', 'primaryCategoryId', category, 'projectId', NULL, 'intent', intent, 'deliverableType', deliverable, 'lifecycleStatus', status, 'valueLevel', value, 'sensitivityLevel', level,
+    'suggestedTitle', title, 'tags', to_json([category, status]), 'fieldConfidence', json_object('primaryCategoryId', sure, 'lifecycleStatus', settled, 'suggestedTitle', sure), 'riskFlags', CASE WHEN hard THEN '["SENSITIVE_PATTERN"]' ELSE '[]' END::JSON,
+    'reasonCodes', to_json(list_filter(['UNKNOWN_PROJECT', CASE WHEN low THEN 'LOW_CONFIDENCE' END, CASE WHEN tied THEN 'MULTI_TOPIC' END, CASE WHEN hard THEN 'SENSITIVE_PATTERN' END, CASE WHEN NOT available THEN 'EMPTY_CONTENT' END], lambda x: x IS NOT NULL)),
+    'requiresReview', review, 'classifierProvider', '{P.PROVIDER}', 'classifierVersion', '{P.TAXONOMY_VERSION}', 'createdAt', '{curate.NOW}')))::VARCHAR FROM z
+UNION ALL SELECT 2, -1, json_object('type', 'summary', 'summary', json_object('totalItems', count(*), 'classified', count(*), 'duplicates', 0, 'failed', 0, 'currentBranchParsed', count(*) FILTER (WHERE available), 'branchFallbacks', 0,
+  'contentUnavailable', count(*) FILTER (WHERE NOT available), 'classificationTruncated', 0, 's3', count(*) FILTER (WHERE hard), 's3Candidates', 0, 'suggestedAccept', count(*) FILTER (WHERE NOT review), 'requiresReview', count(*) FILTER (WHERE review)),
+  'privacy', json_object('networkUsed', false, 'rawMessageBodiesIncluded', false, 'originalTitlesIncluded', false, 'sensitiveValuesIncluded', false, 'crossRunLinkable', true))::VARCHAR FROM z""")
 def conv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event stream of the whole plan, counted by section and type."""
-    rows = curate.classified(tables.conversations(tables.table(spark, sf_dir, "conversations")))
-    e = curate.events(rows, curate.source_struct("0" * 64, 0))
-    return e.groupBy(F.col("section").cast("long").alias("section"), F.get_json_object("json", "$.type").alias("kind")).agg(F.count("*").alias("n_events"))
+    """The whole event stream as JSON: header, an event for each conversation, summary."""
+    rows = curate.classified(tables.conversations(tables.table(spark, sf_dir, "conversations"))).persist()
+    return curate.events(rows, curate.source_struct("0" * 64, 0)).select(F.col("section").cast("long").alias("section"), "item_index", "json")
 
 
-@query("""SELECT conv_id, first_turn, last_turn, n FROM (SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n FROM conversations GROUP BY conv_id) ORDER BY conv_id LIMIT 20""")
+@query(f'{_REPORT_SQL} SELECT ref, review AS "requiresReview", title AS "suggestedTitle", level AS "sensitivityLevel" FROM z ORDER BY id LIMIT {P.PREVIEW_ITEMS}')
 def conv_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 20 conversations by arrival (a report's preview)."""
-    c = tables.table(spark, sf_dir, "conversations")
-    return c.groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("n")).orderBy("conv_id").limit(P.PREVIEW_ITEMS)
+    """A report's preview: the first conversations by arrival."""
+    return curate.preview(curate.classified(tables.conversations(tables.table(spark, sf_dir, "conversations"))))[0]
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations table as export files: path and content. All conversations are dealt to five files by id; every
+    third points to a node that isn't there, so that its nodes, listed backwards, are ordered by time."""
+    t = tables.table(spark, sf_dir, "conversations")
+    node = lambda n: F.concat(F.lit("n"), n.cast("string"))
+    ranked = t.withColumn("i", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    message = F.struct(F.struct("role").alias("author"), F.col("i").alias("create_time"), F.struct(F.array("text").alias("parts")).alias("content"))
+    one = F.struct(F.col("i").alias("i"), F.struct(F.when(F.col("i") > 1, node(F.col("i") - 1)).alias("parent"), message.alias("message")).alias("node"))
+    grouped = ranked.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("i", F.to_json(one["node"]).alias("json"))), asc=False).alias("nodes"), F.max("i").alias("last"))
+    mapping = F.concat(F.lit("{"), F.array_join(F.transform("nodes", lambda x: F.concat(F.lit('"'), node(x["i"]), F.lit('":'), x["json"])), ","), F.lit("}"))
+    current = F.when(F.col("conv_id") % 3 == 0, "gone").otherwise(node(F.col("last")))
+    head = F.to_json(F.struct(F.concat(F.lit(" c"), F.col("conv_id").cast("string")).alias("id"), F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Talk "), F.col("conv_id").cast("string"))).alias("title"), (F.lit(1_600_000_000.25) + F.col("conv_id")).alias("create_time"), current.alias("current_node")))
+    item = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"mapping":'), mapping, F.lit("}"))
+    files = grouped.select("conv_id", item.alias("item")).groupBy((F.col("conv_id") % 5).alias("file")).agg(F.sort_array(F.collect_list(F.struct("conv_id", "item"))).alias("items"))
+    content = F.concat(F.lit("\ufeff [\n"), F.array_join(F.transform("items", lambda x: x["item"]), " ,\n"), F.lit("\n]\n"))
+    return files.select(F.concat(F.lit("export-"), F.col("file").cast("string")).alias("path"), F.encode(content, "UTF-8").alias("content"))
+
+
+@query("SELECT 'export-' || (conv_id % 5)::VARCHAR AS path, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id) - 1 AS item_index, 'c' || conv_id::VARCHAR AS source_id FROM (SELECT DISTINCT conv_id FROM conversations)")
+def export_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as export files, split and parsed: where each item stood, and its id."""
+    return export.canonicalized(export.split_files(_exported(spark, sf_dir))).where("failure IS NULL").select("path", "item_index", "source_id")
+
+
+@query(f"""
+WITH {MESSAGES_SQL},
+k AS (SELECT conv_id, count(*) AS n_messages, coalesce(bool_or(visible), false) AS available FROM v GROUP BY conv_id),
+q AS (SELECT conv_id, sha256(string_agg(CASE WHEN length(text) > 32768 THEN left(text, 16384) || chr(10) || '[CONTENT_TRUNCATED]' || chr(10) || right(text, 16384) ELSE text END, chr(10) ORDER BY i)) AS sha FROM s WHERE n <= 6 OR i <= 3 OR j <= 3 GROUP BY conv_id)
+SELECT 'c' || c.conv_id::VARCHAR AS source_id, CASE WHEN c.conv_id % 2 = 0 THEN 'Talk ' || c.conv_id::VARCHAR ELSE '{P.UNTITLED}' END AS title, strftime(make_timestamp(((1600000000.25 + c.conv_id) * 1000000)::BIGINT), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS created_at,
+  coalesce(n_messages, 0) AS message_count, coalesce(available, false) AS available, c.conv_id % 3 <> 0 AS current, coalesce(sha, sha256('')) AS sha
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN k ON c.conv_id = k.conv_id LEFT JOIN q ON c.conv_id = q.conv_id""")
+def export_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as export files, brought to one form: id, title, time, branch, messages and the sample."""
+    c = export.canonicalized(export.split_files(_exported(spark, sf_dir))).where("failure IS NULL")
+    return c.select("source_id", "title", "created_at", "message_count", "available", "current", F.sha2(F.array_join("sampled", "\n"), 256).alias("sha"))
 
 
 TIMES = "SELECT * FROM (VALUES (1, 1700000000.5), (2, 1700000000500.0), (3, 0.0), (4, 9999999999.0), (5, 10000000000.0)) AS t(id, x)"
@@ -411,9 +493,10 @@ TIMES = "SELECT * FROM (VALUES (1, 1700000000.5), (2, 1700000000500.0), (3, 0.0)
 
 @query(f"SELECT id::BIGINT AS id, strftime(make_timestamp((CASE WHEN x < 10000000000 THEN x * 1000 ELSE x END * 1000)::BIGINT), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso FROM ({TIMES})")
 def fx_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("x").cast("double")
-    ms = F.when(x < 10_000_000_000, x * 1000).otherwise(x).cast("long")
-    return spark.sql(TIMES).select(F.col("id").cast("long").alias("id"), F.concat(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z")).alias("iso"))
+    """Times in seconds and in milliseconds, through the export parser."""
+    raw = F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.create_map().cast("map<string,string>").alias("mapping"), F.col("x").cast("double").alias("create_time")))
+    items = spark.sql(TIMES).select(F.lit("").alias("path"), F.col("id").cast("long").alias("item_index"), F.lit(None).cast("string").alias("run_error"), raw.alias("raw"))
+    return export.canonicalized(items).select(F.col("item_index").alias("id"), F.col("created_at").alias("iso"))
 
 
 HASHES = "SELECT * FROM (VALUES (1, 'a'), (2, ''), (3, 'é')) AS t(id, content)"
@@ -433,6 +516,92 @@ def fx_compatibility_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.gate(spark.sql(SUMMARIES)).select(F.col("id").cast("long").alias("id"), "gate")
 
 
-@query(f"SELECT '{P.TAXONOMY_VERSION}' AS version, * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{c.id}', '{c.intent}', '{c.deliverable}', '{c.value}', {len(c.keywords)}::BIGINT)" for i, c in enumerate(P.TAXONOMY)) + ") AS t(ordinal, id, intent, deliverable, value_level, n_keywords)")
-def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(P.TAXONOMY_VERSION, i, c.id, c.intent, c.deliverable, c.value, len(c.keywords)) for i, c in enumerate(P.TAXONOMY)], "version string, ordinal long, id string, intent string, deliverable string, value_level string, n_keywords long")
+NESTED = """SELECT * FROM (VALUES
+  (1, 'plain', 'mia@post.test', 'also plain', 'k'), (2, 'a b@c.test d', 'x@y.test, z@y.test', 'no', 'k@l.test'), (3, 'nothing', 'here', 'at all', 'to find'), (4, cast(NULL as string), 'q@r.test', cast(NULL as string), 'end')
+) AS t(id, a, b, c, d)"""
+
+
+def _nested(spark: SparkSession) -> DataFrame:
+    """Strings in a struct, an array of structs and a map."""
+    inner = F.array(F.struct(F.col("b").alias("x")), F.struct(F.col("c").alias("x")))
+    return spark.sql(NESTED).select(F.col("id").cast("long").alias("id"), F.struct(F.col("a").alias("name"), F.struct(inner.alias("list"), F.lit(7).alias("n")).alias("sub"), F.create_map(F.lit("key"), F.col("d")).alias("map")).alias("output"))
+
+
+_EMAILS = lambda c: f"len(regexp_extract_all(coalesce({c}, ''), {_q(EMAIL_SQL)}))"
+_CLEAN = lambda c: f"regexp_replace({c}, {_q(EMAIL_SQL)}, '[REDACTED:EMAIL]', 'g')"
+_PATHS_SQL = "list_filter([" + ", ".join(f"CASE WHEN {_EMAILS(c)} > 0 THEN 'output.{path}' END" for c, path in (("a", "name"), ("b", "sub.list[0].x"), ("c", "sub.list[1].x"), ("d", "map.key"))) + "], lambda x: x IS NOT NULL)"
+_NESTED_SQL = NESTED.replace("cast(NULL as string)", "NULL::VARCHAR")
+
+
+@query(f"""SELECT id::BIGINT AS id, {_CLEAN('a')} AS name, {_CLEAN('b')} AS first, {_CLEAN('c')} AS second, {_CLEAN('d')} AS mapped, ({' + '.join(_EMAILS(c) for c in 'abcd')})::BIGINT AS findings, array_to_string({_PATHS_SQL}, ',') AS paths FROM ({_NESTED_SQL})""")
+def fx_deep_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every string of nested values rewritten, the findings counted, and the paths of those that had some."""
+    d = deep.sanitized(_nested(spark), "output")
+    return d.select("id", "output.name", F.col("output.sub.list")[0]["x"].alias("first"), F.col("output.sub.list")[1]["x"].alias("second"), F.col("output.map")["key"].alias("mapped"), F.col("output_findings").alias("findings"), F.array_join("output_unsafe", ",").alias("paths"))
+
+
+@query(f"""SELECT id::BIGINT AS id, CASE WHEN len({_PATHS_SQL}) > 0 THEN '最终输出安全扫描失败（' || array_to_string(list_slice({_PATHS_SQL}, 1, 3), '、') || '）。' END AS message FROM ({_NESTED_SQL})""")
+def fx_output_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the failure of each unsafe output says: the first three paths."""
+    return deep.assessed(_nested(spark), "output").select("id", F.col("output_failure").alias("message"))
+
+
+COUNTED = "SELECT * FROM (VALUES (1, 'API_KEY', 2), (2, 'API_KEY', -1), (3, 'PASSWORD', 3), (4, 'PASSWORD_FIELD', 0)) AS t(id, k, n)"
+
+
+@query(f"SELECT id::BIGINT AS id, CASE WHEN k NOT IN ({', '.join(_q(t) for t in P.SECRET_TYPES)}) OR n < 0 THEN '最终序列化输出安全扫描失败。' END AS message FROM ({COUNTED})")
+def fx_counter_exemption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of known detectors aren't assignments of secrets; unknown names and counts that are none stay suspicious."""
+    d = spark.sql(COUNTED).select(F.col("id").cast("long").alias("id"), F.struct(F.create_map("k", F.col("n").cast("long")).alias("matchCounts")).alias("output"))
+    return deep.assessed(d, "output").select("id", F.col("output_failure").alias("message"))
+
+
+TAGGED = """SELECT * FROM (VALUES (1, 'mia@post.test', 'active', 'x'), (2, 'software-development', 'active', 'x'), (3, '', 'ring +49 30 1234567', 'x'), (4, 'software-development', 'active', '')) AS t(id, a, b, more)"""
+
+
+@query(f"""SELECT id::BIGINT AS id, array_to_string(list_filter([
+  CASE WHEN more = '' THEN '包含 1 个未知字段' END,
+  CASE WHEN length(a) = 0 THEN 'tags[0] 长度无效' END, CASE WHEN contains(a, '@') THEN 'tags[0] 含敏感信息' END, CASE WHEN contains(b, '+') THEN 'tags[1] 含敏感信息' END,
+  CASE WHEN a <> 'software-development' OR b <> 'active' THEN 'tags 与 taxonomy 或 lifecycleStatus 不一致' END], lambda x: x IS NOT NULL), '；') AS errors FROM ({TAGGED})""")
+def fx_validation_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's word on tags and field names, with the detectors' findings in the tags."""
+    no, yes = F.lit(False), F.lit(True)
+    d = spark.sql(TAGGED).select(F.col("id").cast("long").alias("id"), "a", "b", "more", F.lit("node api").alias("text"))
+    r = classify.classification(dedup.reference(F.lit("x")), classify.selection(F.col("text")), classify.lifecycle(F.col("text")), no, no, yes, yes, no, curate.NOW)
+    d = redact.sanitize_all(d.withColumn("r", r.withField("tags", F.array("a", "b"))), F.array("a", "b"), "_t", "_n")
+    fields = F.when(F.col("more") == "", F.array(*[F.lit(f) for f in (*classify.FIELDS, "note")])).otherwise(F.array(*[F.lit(f) for f in classify.FIELDS]))
+    return d.select("id", F.array_join(classify.errors(F.col("r"), fields=fields, private_tags=F.transform("_n", lambda n: n > 0)), "；").alias("errors"))
+
+
+FIELD_SETS = "SELECT * FROM (VALUES (1, 'tags,intent'), (2, 'tags,note,intent,other'), (3, 'createdAt')) AS t(id, names)"
+
+
+@query(f"""SELECT id::BIGINT AS id, array_to_string(list_filter([
+  CASE WHEN len(list_filter(string_split(names, ','), lambda x: NOT contains('{','.join(classify.FIELDS)}', x))) > 0 THEN '包含 ' || len(list_filter(string_split(names, ','), lambda x: NOT contains('{','.join(classify.FIELDS)}', x))) || ' 个未知字段' END,
+  '缺少字段：' || array_to_string(list_filter(string_split('{','.join(classify.FIELDS)}', ','), lambda x: NOT list_contains(string_split(names, ','), x)), '、')], lambda x: x IS NOT NULL), '；') AS errors FROM ({FIELD_SETS})""")
+def fx_field_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(FIELD_SETS).select(F.col("id").cast("long").alias("id"), F.array_join(classify.field_errors(F.split("names", ",")), "；").alias("errors"))
+
+
+ARTIFACTS = """SELECT * FROM (VALUES
+  ('data/talks.json', '[{"x":1},{"id":"t","mapping":{}}]'), ('data/out.json', '[{"type":"header"},{"type":"summary"}]'), ('data/half.json', '[{"type":"header"}]'), ('data/rows.json', '[1,[2],"x"]'), ('data/cut.json', '[{"id":'), ('data/empty.json', '[]'),
+  ('src/a.ts', 'let x = 1'), ('src/b.ts', 'fine' || chr(10) || 'pwd=' || 'hush' || chr(13) || chr(10) || 'pwd=' || 'quiet'), ('img/c.bin', 'pwd=' || 'hush'), ('build.log', 'x'), ('dist/a.js', 'y'), ('.env.local', 'z'), ('docs/d.md', 'note # gitleaks' || ':allow'), ('img/e.bin', 'gitleaks' || ':allow')
+) AS t(path, content)"""
+
+
+@query(f"SELECT path, json_valid(content) AND ((contains(content, 'mapping')) OR (contains(content, '\"header\"') AND contains(content, '\"summary\"'))) AS private FROM ({ARTIFACTS}) WHERE path LIKE '%.json'")
+def fx_private_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that resemble private exports or reports."""
+    return policy.resembling(spark.sql(ARTIFACTS).where("path LIKE '%.json'")).select("path", "private")
+
+
+@query(f"""
+WITH f AS ({ARTIFACTS}), l AS (SELECT path, unnest(regexp_split_to_array(content, '\r?\n')) AS line FROM f),
+bad AS (SELECT path, 'PATH' AS rule FROM f WHERE path LIKE 'dist/%' OR path LIKE '.env.%' OR path LIKE '%.log'),
+art AS (SELECT path, 'ARTIFACT' AS rule FROM f WHERE path IN ('data/talks.json', 'data/out.json')),
+mark AS (SELECT path, 'MARKER' AS rule FROM l WHERE contains(line, 'gitleaks' || ':allow')),
+sec AS (SELECT path, 'SECRET' AS rule FROM l WHERE regexp_matches(line, {_q(_SQL_DETECTORS['PASSWORD_FIELD'])}) AND regexp_matches(path, '[.](ts|js|json|yml|yaml|md|toml)$'))
+SELECT path, rule, count(*) AS n FROM (FROM bad UNION ALL FROM art UNION ALL FROM mark UNION ALL FROM sec) GROUP BY path, rule""")
+def fx_repository_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a repository must not hold: paths, artifacts, suppression marks and secrets."""
+    return policy.violations(spark.sql(ARTIFACTS)).groupBy("path", "rule").agg(F.count("*").alias("n"))

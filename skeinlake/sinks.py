@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from .sources.export import InputError
@@ -29,27 +31,46 @@ class JsonArraySink:
                 raise InputError("OUTPUT_OVERWRITES_SOURCE")
             if not force:
                 raise InputError("OUTPUT_EXISTS")
+        self._sweep()
         self.temporary = self.target.parent / f".{self.target.name}.{os.getpid()}.{uuid.uuid4()}.tmp"
         self.file = open(os.open(self.temporary, os.O_CREAT | os.O_EXCL | os.O_WRONLY, 0o600), "w", encoding="utf-8")
         self.file.write("[\n")
         self.first, self.committed = True, False
 
+    def _sweep(self) -> None:
+        """Removes what a process that has gone left of a report of this name."""
+        from .plans.run import alive
+
+        for p in self.target.parent.iterdir():
+            m = re.fullmatch(rf"\.{re.escape(self.target.name)}\.([0-9]+)\.[0-9a-f-]{{36}}\.tmp", p.name)
+            if m and not alive(int(m[1])):
+                p.unlink(missing_ok=True)
+
     def write(self, event: str) -> None:
         if self.file.closed or self.committed:
             raise InputError("OUTPUT_SINK_CLOSED")
         self.file.write(f"{'  ' if self.first else ',' + chr(10) + '  '}{event}")
         self.first = False
 
-    def commit(self) -> None:
-        """Publishes the file: by renaming with force, else by a link, which never replaces what came meanwhile."""
+    def commit(self, cancelled: Callable[[], bool] = lambda: False) -> None:
+        """Publishes the file: by renaming with force, else by a link, which never replaces what came meanwhile.
+        cancelled is asked before each step; after the last one the report is there."""
+
+        def go_on() -> None:
+            if cancelled():
+                raise KeyboardInterrupt
+
         if self.committed:
             return
         if self.file.closed:
             raise InputError("OUTPUT_SINK_CLOSED")
+        go_on()
         self.file.write("\n]\n")
         self.file.flush()
+        go_on()
         os.fsync(self.file.fileno())
         self.file.close()
+        go_on()
         if self.force:
             os.replace(self.temporary, self.target)
             self.committed = True

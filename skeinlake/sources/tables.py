@@ -21,10 +21,25 @@ def units(c: Column) -> Column:
     return F.length(c) + F.regexp_count(c, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
+def _cut(c: Column, first: bool) -> Column:
+    """The first or last half of the limit in UTF-16 units; half of a character at the cut becomes U+FFFD."""
+    size = P.MAX_CHARACTERS  # bytes in half of the units
+    b = F.encode(c, "UTF-16LE")
+    part = F.substring(b, 1, size) if first else F.substr(b, F.octet_length(b) - size + 1, F.lit(size))
+    edge = F.hex(F.substring(part, size if first else 2, 1))  # the high byte of the unit at the cut
+    whole = F.substring(part, 1, size - 2) if first else F.substring(part, 3, size - 2)
+    torn = edge.between("D8", "DB") if first else edge.between("DC", "DF")
+    text = F.decode(F.when(torn, whole).otherwise(part), "UTF-16LE")
+    odd = F.when(torn, "\ufffd").otherwise("")
+    return F.concat(text, odd) if first else F.concat(odd, text)
+
+
 def head_tail(c: Column) -> Column:
-    """The text, or its first and last half of the limit. Cut at code points: exact for text without astral characters."""
+    """The text, or its first and last half of the limit, in UTF-16 units."""
     half = P.MAX_CHARACTERS // 2
-    return F.when(units(c) > P.MAX_CHARACTERS, F.concat(F.substring(c, 1, half), F.lit("\n[CONTENT_TRUNCATED]\n"), F.right(c, F.lit(half)))).otherwise(c)
+    plain = F.length(c) == units(c)
+    first, last = F.when(plain, F.substring(c, 1, half)).otherwise(_cut(c, True)), F.when(plain, F.right(c, F.lit(half))).otherwise(_cut(c, False))
+    return F.when(units(c) > P.MAX_CHARACTERS, F.concat(first, F.lit("\n[CONTENT_TRUNCATED]\n"), last)).otherwise(c)
 
 
 def sampled(shown: Column) -> Column:
@@ -35,7 +50,9 @@ def sampled(shown: Column) -> Column:
 def conversations(turns: DataFrame) -> DataFrame:
     """Each conv_id as one conversation on its current branch, in order of turn, without a title; item_index is its rank by id.
 
-    The canonical columns are those of exports; a message without text is none."""
+    The canonical columns are those of exports; a message without text is none. Turns are dealt out by a set number of
+    partitions, which Spark keeps: the scans that follow cost more than their bytes tell."""
+    turns = turns.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv_id")
     t = turns.select("conv_id", "turn", "role", trim(F.coalesce("text", F.lit(""))).alias("text")).where("text != ''")
     shown = F.when(F.col("role").isNull() | F.col("role").isin("user", "assistant"), F.col("text")).otherwise("")
     grouped = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", shown.alias("shown")))).alias("m"))

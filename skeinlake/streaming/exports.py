@@ -3,7 +3,9 @@
 Items are split, parsed and referenced as in the batch plan. First-wins dedup
 is by arrival: a reference that any earlier batch held is a duplicate, for as
 long as the query's state lives (the horizon is the run, so no watermark).
-Counters come batch by batch through foreachBatch, which runs the batch plan.
+Counters come batch by batch through foreachBatch, which runs the batch plan and keeps
+the references of each batch in a folder; those of earlier batches make duplicates. A
+batch that is run again after a failure writes its references anew and doesn't see them.
 """
 
 from __future__ import annotations
@@ -35,10 +37,20 @@ def first_arrivals(rows: DataFrame) -> DataFrame:
     return rows.where("failure IS NULL").withColumn("ref", dedup.reference(F.col("source_id"))).dropDuplicates(["ref"])
 
 
-def counted(rows: DataFrame, take: Callable[[int, dict], None]) -> DataStreamWriter:
-    """A writer that gives each micro-batch's twelve counters to ``take``."""
+def failed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path and code of every file that arrives and would end a run; its items up to there are not counted either."""
+    return export.split_files(files(spark, folder)).where("run_error IS NOT NULL").select("path", F.col("run_error").alias("code"))
+
+
+def counted(rows: DataFrame, take: Callable[[int, dict], None], seen: str) -> DataStreamWriter:
+    """A writer that gives each micro-batch's twelve counters to ``take``. seen: a folder for the references, which lives
+    as long as the query's checkpoint and in the same store."""
 
     def batch(part: DataFrame, number: int) -> None:
-        take(number, curate.summary(curate.classified(part)).first().asDict())
+        spark = part.sparkSession
+        refs = part.where("failure IS NULL").select(dedup.reference(F.col("source_id")).alias("ref"))
+        earlier = spark.read.schema("ref string, batch long").parquet(seen).where(F.col("batch") < number) if number else None
+        take(number, curate.summary(curate.classified(part, seen=earlier)).first().asDict())
+        refs.distinct().write.mode("overwrite").parquet(f"{seen}/batch={number}")
 
     return rows.writeStream.foreachBatch(batch)

@@ -86,6 +86,8 @@ def test_run(spark, tmp_path):
     assert out[2]["data"]["security"]["matchCounts"] == {"API_KEY": 1}
     assert "EMPTY_CONTENT" in out[4]["data"]["classification"]["reasonCodes"] and "CONTENT_TRUNCATED" in out[6]["data"]["classification"]["reasonCodes"]
     assert all(s not in "".join(events) for s in (key, "typescript", "alice", "x" * 50, '"b"'))
+    assert [x.json for x in r.events.collect()] == events  # as long as the report isn't closed
+    r.close()
     assert out[0]["source"]["sizeBytes"] == len(text.encode()) and out[0]["generatedAt"] == "2026-01-01T00:00:00.000Z"
 
 
@@ -103,6 +105,40 @@ def test_run_errors(spark, tmp_path):
     assert set(empty.summary.values()) == {0}
 
 
+def test_item_limit(spark):
+    rows = lambda n: export.split_files(spark.createDataFrame([("a", b"[" + b",".join([b'{"id":"x","mapping":{}}'] * n) + b"]")], "path string, content binary")).groupBy("run_error").count().collect()
+    assert {r.run_error: r["count"] for r in rows(P.MAX_ITEMS)} == {None: P.MAX_ITEMS}
+    assert {r.run_error: r["count"] for r in rows(P.MAX_ITEMS + 1)} == {None: P.MAX_ITEMS, "CONVERSATION_LIMIT_EXCEEDED": 1}
+
+
+def test_what_a_killed_driver_left_goes(spark, tmp_path):
+    gone = next(n for n in range(4_000_000, 4_100_000) if not run.alive(n))
+    (tmp_path / f"{run.FOLDER}{gone}-x").mkdir()
+    (tmp_path / f"{run.FOLDER}{os.getpid()}-x").mkdir()
+    name = "00000000-0000-4000-8000-000000000000"
+    (tmp_path / f".o.json.{gone}.{name}.tmp").write_text("[")
+    (tmp_path / f".o.json.{os.getpid()}.{name}.tmp").write_text("[")
+    source = save(tmp_path / "in.json", [chat("a", "hi")])
+    run.curate_file(spark, source, root=str(tmp_path)).close()
+    JsonArraySink(str(tmp_path / "o.json"), source).abort()
+    assert sorted(p.name for p in tmp_path.iterdir()) == [f".o.json.{os.getpid()}.{name}.tmp", "in.json", f"{run.FOLDER}{os.getpid()}-x"]
+
+
+def test_interrupts(spark, tmp_path):
+    source = save(tmp_path / "in.json", [chat("a", "hi")])
+
+    def stop(_):
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        run.curate_file(spark, source, root=str(tmp_path), on_event=stop)
+    sink = JsonArraySink(str(tmp_path / "o.json"), source)
+    with pytest.raises(KeyboardInterrupt):
+        sink.commit(lambda: True)
+    sink.abort()
+    assert [p.name for p in tmp_path.iterdir()] == ["in.json"]
+
+
 def test_sink(tmp_path):
     source = save(tmp_path / "in.json", "[]")
     out = str(tmp_path / "out.json")

@@ -3,7 +3,7 @@ from compare import connect, differs
 
 from skeinlake.plans import queries as Q
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")

@@ -7,6 +7,9 @@ import gc
 import os
 import tempfile
 import uuid
+import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -41,24 +44,50 @@ def shared(spark: SparkSession) -> str:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
     try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _remove(spark, path)
     except Exception:  # the session may be gone when the interpreter ends
         pass
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's interpreter ends."""
+    """A new path in the shared folder, removed when the driver's interpreter ends, if not before."""
     path = f"{shared(spark)}/skeinlake/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(_remove_at_exit, spark, path)
     return path
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read back: cuts lineage and survives lost executors."""
+_PATHS: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored within are removed at the end. What leaves the block must be stored with ``outer``,
+    or have been read to its end."""
+    _PATHS.append([])
+    try:
+        yield
+    finally:
+        for path in _PATHS.pop():
+            try:
+                _remove(spark, path)
+            except Exception as e:  # a table that stays costs disk, not results
+                warnings.warn(f"{path} was not removed: {e}", stacklevel=2)
+
+
+def stored(frame: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """The frame written to the shared folder and read back: cuts lineage and survives lost executors.
+    outer: it belongs to the block around the innermost scratch()."""
     spark = frame.sparkSession
     path = new_path(spark, name)
+    scopes = _PATHS[:-1] if outer else _PATHS
+    if scopes:
+        scopes[-1].append(path)
     frame.write.parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of what has been written

@@ -223,6 +223,12 @@ def write(pages: DataFrame, out: str, roll_bytes: int = ROLL_BYTES, shard_bytes:
     system, folder = _filesystem(out)
     if _exists(system, f"{folder}/manifest.json"):
         raise FileExistsError(f"{out} already holds archives")
+    with frames.scratch(spark):
+        return _commit(_written(pages, out, roll_bytes, shard_bytes, min_revisit), out)
+
+
+def _written(pages: DataFrame, out: str, roll_bytes: int, shard_bytes: int, min_revisit: int) -> DataFrame:
+    """MANIFEST's rows of the files that were written under temporary names."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     small = p.select("page_id", F.sha1("payload").alias("sha"), F.octet_length("payload").cast("long").alias("n"))
     small = frames.stored(small, "warc-digests")
@@ -252,8 +258,7 @@ def write(pages: DataFrame, out: str, roll_bytes: int = ROLL_BYTES, shard_bytes:
         files.close()
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in files.rows], f.type) for i, f in enumerate(MANIFEST)], schema=MANIFEST)
 
-    written = frames.stored(ordered.mapInArrow(run, MANIFEST_NAMES), "warc-manifest")
-    return _commit(written, out)
+    return frames.stored(ordered.mapInArrow(run, MANIFEST_NAMES), "warc-manifest")
 
 
 def _exists(system, path: str) -> bool:
@@ -287,7 +292,7 @@ def _commit(written: DataFrame, out: str) -> DataFrame:
                 _publish(here, _filesystem(temporary)[1], f"{folder}/{file}")
             yield b.select(["file", "records", "bytes", "sha1"])
 
-    manifest = frames.stored(named.repartition(frames.partitions(spark)).mapInArrow(publish, "file string, records long, bytes long, sha1 string"), "warc-files")
+    manifest = frames.stored(named.repartition(frames.partitions(spark)).mapInArrow(publish, "file string, records long, bytes long, sha1 string"), "warc-files", outer=True)
     if _exists(system, f"{folder}/_temporary"):
         system.delete_dir(f"{folder}/_temporary")
     with system.open_output_stream(f"{folder}/manifest.json.tmp") as f:

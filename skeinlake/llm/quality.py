@@ -187,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> T
     sample = kinds.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     sample = frames.stored(sample, "labels")
     chosen = frames.ids(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")
-    rows = _counted(chosen, "quality").groupBy("doc_id", "quality", *COUNTS).count().orderBy("doc_id", *COUNTS).limit(2 * max_labels).toPandas()
+    # a row an id, so as many rows as labels at most: of an id with several texts, that with the least counts
+    rows = _counted(chosen, "quality").groupBy("doc_id", "quality").agg(F.min(F.struct(*COUNTS)).alias("c")).orderBy("doc_id").select("quality", "c.*").toPandas()
     y = rows["quality"].to_numpy(float) if len(rows) else np.zeros(0)
     if not len(y) or y.min() == y.max():
         return None

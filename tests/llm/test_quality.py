@@ -44,6 +44,49 @@ def test_trees():
     assert (np.diff(model.raw(grid.reshape(-1, 3)).reshape(200, 50), axis=1) <= 1e-12).all()
 
 
+def walk(model, node, x):
+    """The leaf's value, by recursion over one row."""
+    f = int(model.feature[node])
+    if f < 0:
+        return model.value[node]
+    return walk(model, int(model.left[node] if x[f] <= model.cut[node] else model.right[node]), x)
+
+
+def test_flat_arrays_against_a_plain_walk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = Q.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in Q.judged(docs, model).collect():
+        x = Q.features({c: np.array([r[c]]) for c in Q.COUNTS})[0]
+        score = 1 / (1 + np.exp(-(model.bias + sum(walk(model, int(root), x) for root in model.roots))))
+        want = plain(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert abs(score - r.score) < 1e-9 and r.kept == (not r.base_failed and score >= Q.THRESHOLD)
+
+
+def test_labels_are_bounded(spark):
+    docs = spark.createDataFrame([(i, f"{'good words here ' * 5} {i} {k}" if i % 2 else "# # #") for i in range(60) for k in range(3)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    seen, fit = [], Q.fit
+    Q.fit = lambda x, y, signs: seen.append(len(y)) or fit(x, y, signs)
+    try:
+        assert Q.train(docs, labels, max_labels=25) is not None
+    finally:
+        Q.fit = fit
+    assert seen == [25]
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = Q.op1_quality_rules(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = plain(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (r.base_failed and r.kept)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -35,3 +35,21 @@ def test_frame(spark):
     d = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(2, "a b", 1)], "doc_id long, text string, n_tokens int")
     got = sorted(tuple(r) for r in C.token_counts(d, PATH, RANKS).collect())
     assert got == sorted((i, len((t or "").encode()), whole(t or "")) for i, t in [*enumerate(texts), (2, "a b")])
+
+
+def test_quick_path_on_whole_texts(spark):
+    """Whole documents, and random mixtures of everyday characters, count alike in both libraries."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text]
+    rng = random.Random(9)
+    kinds = ["abcdefghijkl", "ABCXYZ", "0123456789", " ", "  \n\t\r", "'\"-_.,;:!?/()[]{}", "éüßñçøå", "жяю", "漢字仮名", "かなカナ", "한글", "\u2014\u2019\u2026", "'s're'll", "\u00a0\u0085\u000b"]
+    texts += ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.choice([3, 30, 300]))) for _ in range(20_000)]
+    assert C.counts(texts, PATH, RANKS) == [whole(t) for t in texts]
+    assert sum(not C._OTHER.search(t) for t in texts) > 15_000 and sum(len(t) > C.CHUNK for t in texts) > 0
+
+
+def test_empty_and_query(spark):
+    assert C.token_counts(spark.createDataFrame([], "doc_id long, text string"), PATH, RANKS).count() == 0
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    got = sorted(tuple(r) for r in C.op8_token_counts(spark, sf).collect())
+    assert got == sorted((r.doc_id, len((r.text or "").encode()), n, n > 512) for r in docs for n in [whole(r.text or "")])

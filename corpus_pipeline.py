@@ -73,6 +73,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = frames.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = frames.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    with frames.scratch(spark):
+        for name, stage in STAGES:
+            docs = frames.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"), outer=stage is STAGES[-1][1])
     return docs

@@ -21,15 +21,16 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 
 JS_SPACE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_STRUCTURE = re.compile(rb'"[^"\\]*(?:\\.[^"\\]*)*"|[{}\[\]]|"', re.S)
 _TOKEN = re.compile(rb'"[^"\\]*(?:\\.[^"\\]*)*"|[{}\[\]]|[,:]|[^\s{}\[\],:"]+|\s+|"', re.S)
 
 
 class InputError(Exception):
-    """An error that ends a run; code is part of the interface."""
+    """An error that ends a run; code is part of the interface. at: the byte of the input where it was found, if known."""
 
-    def __init__(self, code: str, message: str = ""):
+    def __init__(self, code: str, message: str = "", at: int | None = None):
         super().__init__(message or code)
-        self.code = code
+        self.code, self.at = code, at
 
 
 def _skip(data: bytes, at: int) -> int:
@@ -48,16 +49,40 @@ def _skip(data: bytes, at: int) -> int:
 
 def split(content: bytes) -> Iterator[tuple[int, str]]:
     """index and text of each object of the array; InputError where the input isn't one, or an item passes a limit."""
-    try:
-        content.decode("utf-8")
-    except UnicodeDecodeError:
-        raise InputError("INVALID_UTF8") from None
     data = content.removeprefix(b"\xef\xbb\xbf")
-    bad = lambda at: InputError("INVALID_JSON_ARRAY", f"offset {len(data[:at].decode('utf-8', 'ignore'))}")
+    try:
+        data.decode("utf-8")
+        broken = len(data) + 1
+    except UnicodeDecodeError as e:
+        broken = e.start  # what is wrong before this byte is told first
+    places = _places(data)
+    index = 0
+    while True:
+        try:
+            start, end = next(places)
+        except StopIteration:
+            break
+        except UnicodeDecodeError:
+            raise InputError("INVALID_UTF8") from None
+        except InputError as e:
+            if broken <= len(data) and (e.at is None or e.at >= broken):
+                raise InputError("INVALID_UTF8") from None
+            raise
+        if end > broken:
+            break
+        yield index, data[start:end].decode("utf-8")
+        index += 1
+    if broken <= len(data):
+        raise InputError("INVALID_UTF8")
+
+
+def _places(data: bytes) -> Iterator[tuple[int, int]]:
+    """Where each object of the array begins and ends."""
+    bad = lambda at: InputError("INVALID_JSON_ARRAY", f"offset {len(data[:at].decode('utf-8', 'ignore'))}", at)
     at = _skip(data, 0)
     if data[at : at + 1] != b"[":
         raise bad(at)
-    at, index, comma = at + 1, 0, False
+    at, comma = at + 1, False
     while True:
         at = _skip(data, at)
         c = data[at : at + 1]
@@ -66,8 +91,8 @@ def split(content: bytes) -> Iterator[tuple[int, str]]:
         if c != b"{":
             raise bad(at)
         end = _item(data, at)
-        yield index, data[at:end].decode("utf-8")
-        index, at = index + 1, _skip(data, end)
+        yield at, end
+        at = _skip(data, end)
         c = data[at : at + 1]
         if c == b"]":
             break
@@ -79,7 +104,23 @@ def split(content: bytes) -> Iterator[tuple[int, str]]:
 
 
 def _item(data: bytes, start: int) -> int:
-    """End of the object that begins at start. Brackets are counted, not matched: a wrong one is the parser's to find."""
+    """End of the object that begins at start. An item has no more tokens than bytes, so they are counted only if it is long."""
+    depth = 0
+    for m in _STRUCTURE.finditer(data, start):
+        first = data[m.start()]
+        if m.end() - start > P.MAX_TOKENS or depth > P.MAX_DEPTH or (first == 34 and m.end() - m.start() == 1):
+            break
+        if first in b"{[":
+            depth += 1
+        elif first in b"}]":
+            depth -= 1
+            if not depth:
+                return m.end()
+    return _long_item(data, start)
+
+
+def _long_item(data: bytes, start: int) -> int:
+    """The same, token by token, with all limits. Brackets are counted, not matched: a wrong one is the parser's to find."""
     depth = tokens = 0
     for m in _TOKEN.finditer(data, start):
         if m.end() - start > P.MAX_ITEM_BYTES:

@@ -40,6 +40,33 @@ def test_split():
     assert code(lambda: list(split(b'[{"x":' + b"[" * 80 + b"]" * 80 + b"}]"))) == "INPUT_STRUCTURE_TOO_COMPLEX"
 
 
+def test_what_comes_first_is_told_first(spark):
+    late = b',{"x":"\xc3("}]'
+    rows = lambda data: [r.run_error for r in export.split_files(spark.createDataFrame([("a", data)], "path string, content binary")).collect()]
+    good = json.dumps(chat("a", "x")).encode()
+    assert rows(b"[" + good + late) == [None, "INVALID_UTF8"]
+    assert rows(b'[{"id":"x"}' + late) == ["INPUT_NOT_CHATGPT_EXPORT"]
+    assert rows(b"[" + good + b" 5" + late) == [None, "INVALID_JSON_ARRAY"]
+    assert rows(b"\xff") == ["INVALID_UTF8"]
+
+
+def test_quick_and_exact_ends_agree():
+    import random
+
+    rng = random.Random(6)
+    bits = [b"{", b"}", b"[", b"]", b'"', b"\\", b'\\"', b"a", b",", b":", b" ", b'"k"', b"1.5", b"{}"]
+    for _ in range(20_000):
+        data = b"{" + b"".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+        assert _outcome(export._item, data) == _outcome(export._long_item, data), data
+
+
+def _outcome(f, data):
+    try:
+        return f(data, 0)
+    except InputError as e:
+        return e.code
+
+
 def test_canonical():
     tree = {"id": " b1 ", "current_node": "cur", "mapping": {"r": node(None), "q": node("r", "question"), "cur": node("q", "new"), "old": node("q", "old")}}
     c = canonical(tree)

@@ -11,12 +11,13 @@ go on to their next earlier holders, in rounds that each try ``STEP`` times as
 many, until every such block is deleted or has no holder left: the result is that
 of aligning all pairs, and no line is too frequent to count. Documents of equal
 lines are one holder. All alignments are made on the documents as they came in.
-``min_words`` of a line no longer decides anything.
+``min_words`` is kept for callers and decides nothing.
 
 Documents are ordered by id, a null id last, then by text fingerprint. Cases: a
 null text has no lines and stays null; lines without a word never pair documents
 and are deleted only inside a block; rows repeated in full are one document, and
-each is returned; an empty table gives no rows.
+each is returned; texts are read whole; an empty table gives no rows; other columns
+pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ MIN_WORDS, BLOCK_WORDS = 3, 5
 LAST = (1 << 63) - 1
 #: Each round tries so many times the holders of the one before.
 STEP = 8
+#: Parts in which the holders of a block are ranked before they are ranked together.
+RANK_PARTS = 32
 
 
 def _lines(texts: pa.Array) -> tuple[textcore.Spans, np.ndarray, np.ndarray]:
@@ -155,7 +158,12 @@ def _open(blocks: list[dict[str, int]], gone: list[int]) -> list[dict[str, int]]
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """ord, th and lines: the numbers, among lines that aren't empty, of each document's lines to delete."""
-    keyed = _keyed(docs)
+    with frames.scratch(docs.sparkSession):
+        return frames.stored(_removals(_keyed(docs), block_words), "line-removals", outer=True)
+
+
+def _removals(keyed: DataFrame, block_words: int) -> DataFrame:
+    parts = frames.partitions(keyed.sparkSession)
     flat = pa.schema([("ord", pa.int64()), ("th", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
     whole = pa.schema([("ord", pa.int64()), ("th", pa.int64()), ("seq", pa.list_(pa.int64())), ("seq2", pa.list_(pa.int64())), ("words", pa.list_(pa.int32()))])
 
@@ -179,7 +187,8 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLO
 
     me = F.struct("ord", "th")
     blocks = frames.stored(keyed.mapInArrow(keys, "ord long, th long, s1 long, s2 long, key long, at int, size int"), "line-keys")
-    first = blocks.groupBy("key").agg(F.min(me).alias("a"), F.max(me).alias("other")).where("a < other").select("key", "a")
+    # stored, so that the joins get two plain shuffles, of which Spark splits what a very common block would put into one task
+    first = frames.stored(blocks.groupBy("key").agg(F.min(me).alias("a"), F.max(me).alias("other")).where("a < other").select("key", "a"), "line-first")
     held = frames.stored(blocks.join(first, "key").select("ord", "th", "s1", "s2", "key", "at", "size", "a"), "line-shared")
     involved = held.select("ord", "th").distinct()
     seqs = frames.stored(keyed.mapInArrow(sequences, "ord long, th long, seq array<long>, seq2 array<long>, words array<int>").dropDuplicates(["ord", "th"]).join(involved, ["ord", "th"], "left_semi"), "line-sequences")
@@ -216,8 +225,16 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLO
         wait = wait.join(found, ["ord", "th"], "left").mapInArrow(left, "ord long, th long, gone array<int>, blocks array<struct<key:bigint,at:int,size:int>>")
         wait = frames.stored(wait, "line-waiting")
         ask = wait.select("ord", "th", F.explode(F.array_distinct(F.col("blocks.key"))).alias("key"))
-        holders = held.join(ask.select("key").distinct(), "key", "left_semi").groupBy("key", "s1", "s2").agg(F.min(me).alias("a"))
-        ranked = holders.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("a"))).where(F.col("rank") <= tried + more).where(F.col("rank") > tried)
+        asked = frames.stored(ask.select("key").distinct(), "line-asked")
+        if asked.isEmpty():
+            break
+        # the holders of a very common block are dealt out anew before they are summed, and ranked in parts first
+        open_ = held.join(asked, "key", "left_semi").select("key", "s1", "s2", me.alias("a")).repartition(parts, "key", "s1", "s2")
+        holders = open_.groupBy("key", "s1", "s2").agg(F.min("a").alias("a"))
+        share = F.pmod(F.xxhash64("s1"), F.lit(RANK_PARTS))
+        near = holders.withColumn("part", share).withColumn("rank", F.row_number().over(Window.partitionBy("key", "part").orderBy("a"))).where(F.col("rank") <= tried + more)
+        near = near.select("key", "a").repartition(parts, "key")
+        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("a"))).where(F.col("rank") <= tried + more).where(F.col("rank") > tried)
         pairs = frames.stored(ask.join(ranked, "key").where(F.col("a") < me).select(*pair).distinct(), "line-pairs")
         if pairs.isEmpty():
             break
@@ -239,8 +256,9 @@ def without_lines(text: str, gone: list[int]) -> str:
     return "\n".join(out)
 
 
-def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, more: bool = False) -> DataFrame:
-    """docs with the deleted lines gone from text. more: also n_lines and n_removed as the last two columns."""
+def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, more: bool = False, least_words: int = 0) -> DataFrame:
+    """docs with the deleted lines gone from text. more: also n_lines and n_removed as the last two columns.
+    least_words: rows that lost lines and hold fewer words than that afterwards go."""
     frames.ready(docs.sparkSession)
     names = docs.columns
     low = [n.lower() for n in names]
@@ -259,7 +277,10 @@ def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOC
                     texts = pa.array([without_lines(x.as_py(), g) if g else x.as_py() for x, g in zip(texts, gone, strict=True)], texts.type)
                 lines = textcore.spans(part.column(t), textcore.LINE).per_row()
                 columns = {f.name: part.column(f.name) for f in part.schema if f.name != "lines"} | {t: texts, "n_lines": pa.array(lines), "n_removed": pa.array([len(g or ()) for g in gone], pa.int64())}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                out = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                if least_words and any(gone):
+                    out = out.filter(pa.array((textcore.words(texts).per_row() >= least_words) | ~np.array([bool(g) for g in gone])))
+                yield out
 
     result = joined.mapInArrow(run, out.schema).toDF(*names, "n_lines", "n_removed")
     return result if more else result.toDF(*[f"c{k}" for k in range(len(names) + 2)]).select(*plain.columns).toDF(*names)

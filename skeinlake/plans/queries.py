@@ -171,28 +171,49 @@ def fx_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", "hard", "candidate", "fallback", "empty", "truncated", F.col("r.requiresReview").alias("review"), F.array_join("r.reasonCodes", ",").alias("reasons"), F.col("r.sensitivityLevel").alias("level"), F.size(classify.errors(F.col("r"), expected_id=ref)).cast("long").alias("n_errors"))
 
 
+_TAXONOMY_SQL = "(VALUES " + ", ".join(f"({_q(c.id)}, {_q(c.label)}, {_q(c.object)}, {_q(c.intent)}, {_q(c.deliverable)}, {_q(c.value)})" for c in P.TAXONOMY) + ") AS x(cid, label, object, intent, deliverable, value)"
+_STATUS_SQL = "(VALUES " + ", ".join(f"({_q(k)}, {_q(v)})" for k, v in P.STATUS_LABELS.items()) + ") AS y(sid, status_label)"
+
+
+#: A valid result with one field changed at a time: the field, and its value in Spark's SQL.
 MUTATIONS = (
-    ("conversationId", "'conv:1'"), ("taxonomyVersion", "'mvp-2'"), ("primaryCategoryId", "'none'"), ("projectId", "'p'"), ("intent", "'plan'"), ("deliverableType", "''"), ("lifecycleStatus", "'open'"),
-    ("valueLevel", "'V3'"), ("sensitivityLevel", "'S9'"), ("suggestedTitle", "'short'"), ("tags", "array('a')"), ("riskFlags", "array('X')"), ("reasonCodes", "array('UNKNOWN_PROJECT')"),
+    ("conversationId", "'conv:1'"), ("taxonomyVersion", "'mvp-2'"), ("primaryCategoryId", "'none'"), ("primaryCategoryId", "'writing'"), ("projectId", "'p'"), ("intent", "'plan'"), ("deliverableType", "''"), ("lifecycleStatus", "'open'"),
+    ("valueLevel", "'V3'"), ("valueLevel", "'V9'"), ("sensitivityLevel", "'S9'"), ("suggestedTitle", "'short'"), ("suggestedTitle", "'[软件开发] 整理另外一个技术问题 · 进行中'"), ("suggestedTitle", "''"), ("tags", "array('a')"), ("tags", "array('1','2','3','4','5','6','7','8','9')"),
+    ("riskFlags", "array('X')"), ("riskFlags", "array('SENSITIVE_PATTERN','SENSITIVE_PATTERN')"), ("riskFlags", "array('S3_CANDIDATE')"), ("reasonCodes", "array('UNKNOWN_PROJECT')"), ("reasonCodes", "array('LOW_CONFIDENCE')"), ("reasonCodes", "array('LOW_CONFIDENCE','LOW_CONFIDENCE','UNKNOWN_PROJECT')"),
     ("requiresReview", "false"), ("classifierProvider", "'p'"), ("classifierVersion", "'v'"), ("createdAt", "'yesterday'"),
 )
-_EXPECTED_ERRORS = {
-    "conversationId": "conversationId 必须是本地安全引用", "taxonomyVersion": "taxonomyVersion 无效", "primaryCategoryId": "primaryCategoryId 不存在或已废弃", "projectId": "projectId 必须为 null", "intent": "intent 与 taxonomy 不一致",
-    "deliverableType": "deliverableType 无效；deliverableType 与 taxonomy 不一致", "lifecycleStatus": "lifecycleStatus 无效", "valueLevel": "valueLevel 与 taxonomy 不一致", "sensitivityLevel": "sensitivityLevel 无效",
-    "suggestedTitle": "suggestedTitle 长度必须为 16–30 个字符；suggestedTitle 格式或状态无效；suggestedTitle 与 taxonomy 或 lifecycleStatus 不一致", "tags": "tags 与 taxonomy 或 lifecycleStatus 不一致",
-    "riskFlags": "riskFlags 无效", "reasonCodes": "reasonCodes 与 fieldConfidence 不一致", "requiresReview": "requiresReview 违反强制复核规则", "classifierProvider": "classifierProvider 无效", "classifierVersion": "classifierVersion 无效", "createdAt": "createdAt 无效",
-}
+_VALID_SQL = f"""SELECT 'conv:' || {GROUPED} AS "conversationId", '{P.TAXONOMY_VERSION}' AS "taxonomyVersion", 'software-development' AS "primaryCategoryId", NULL::VARCHAR AS "projectId", 'build_or_debug' AS intent, 'code' AS "deliverableType",
+  'active' AS "lifecycleStatus", 'V2' AS "valueLevel", 'S0' AS "sensitivityLevel", '[软件开发] 整理技术问题 · 进行中' AS "suggestedTitle", ['software-development', 'active'] AS tags, []::VARCHAR[] AS "riskFlags", ['UNKNOWN_PROJECT', 'LOW_CONFIDENCE'] AS "reasonCodes",
+  true AS "requiresReview", '{P.PROVIDER}' AS "classifierProvider", '{P.TAXONOMY_VERSION}' AS "classifierVersion", '{curate.NOW}' AS "createdAt" FROM (SELECT sha256('chatgpt:x') AS h)"""
+_MUTATED_SQL = " UNION ALL ".join(f'SELECT {i} AS id, * REPLACE ({v.replace("array(", "[").replace(")", "]") if v.startswith("array") else v} AS "{k}") FROM valid' for i, (k, v) in enumerate(MUTATIONS))
+_WITHOUT_REPEATS = lambda c, names: f"""(len("{c}") <= 16 AND len(list_distinct("{c}")) = len("{c}") AND len(list_filter("{c}", lambda x: x NOT IN ({', '.join(_q(n) for n in names)}))) = 0)"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({_q(k)}, {_q(_EXPECTED_ERRORS[k])})" for k, _ in MUTATIONS) + ") AS t(field, errors)")
+@query(f"""
+WITH valid AS ({_VALID_SQL}), m AS ({_MUTATED_SQL}),
+x AS (SELECT m.* RENAME (intent AS m_intent), t.cid IS NOT NULL AS known, t.* RENAME (intent AS t_intent), y.sid IS NOT NULL AS status_known, '[' || label || '] 整理' || object || ' · ' || status_label AS template, {_WITHOUT_REPEATS('riskFlags', P.RISK_FLAGS)} AS risks_ok, {_WITHOUT_REPEATS('reasonCodes', P.REASONS)} AS reasons_ok,
+  list_contains("riskFlags", 'SENSITIVE_PATTERN') AS r1, list_contains("riskFlags", 'S3_CANDIDATE') AS r2, list_contains("reasonCodes", 'SENSITIVE_PATTERN') AS c1, list_contains("reasonCodes", 'S3_CANDIDATE') AS c2
+  FROM m LEFT JOIN (FROM {_TAXONOMY_SQL}) t ON m."primaryCategoryId" = t.cid LEFT JOIN (FROM {_STATUS_SQL}) y ON m."lifecycleStatus" = y.sid)
+SELECT id::BIGINT AS id, array_to_string(list_filter([
+  CASE WHEN NOT regexp_full_match("conversationId", 'conv:([a-f0-9]{{8}}:){{7}}[a-f0-9]{{8}}') THEN 'conversationId 必须是本地安全引用' END, CASE WHEN "taxonomyVersion" <> '{P.TAXONOMY_VERSION}' THEN 'taxonomyVersion 无效' END,
+  CASE WHEN NOT known THEN 'primaryCategoryId 不存在或已废弃' END, CASE WHEN "projectId" IS NOT NULL THEN 'projectId 必须为 null' END, CASE WHEN m_intent = '' THEN 'intent 无效' END, CASE WHEN "deliverableType" = '' THEN 'deliverableType 无效' END,
+  CASE WHEN known AND m_intent <> t_intent THEN 'intent 与 taxonomy 不一致' END, CASE WHEN known AND "deliverableType" <> deliverable THEN 'deliverableType 与 taxonomy 不一致' END, CASE WHEN known AND "valueLevel" <> value THEN 'valueLevel 与 taxonomy 不一致' END,
+  CASE WHEN NOT status_known THEN 'lifecycleStatus 无效' END, CASE WHEN "valueLevel" NOT IN ('V0', 'V1', 'V2', 'V3') THEN 'valueLevel 无效' END, CASE WHEN "sensitivityLevel" NOT IN ('S0', 'S1', 'S2', 'S3') THEN 'sensitivityLevel 无效' END,
+  CASE WHEN "suggestedTitle" = '' THEN 'suggestedTitle 无效' END, CASE WHEN "suggestedTitle" <> '' AND length("suggestedTitle") NOT BETWEEN 16 AND 30 THEN 'suggestedTitle 长度必须为 16–30 个字符' END,
+  CASE WHEN "suggestedTitle" <> '' AND NOT regexp_matches("suggestedTitle", '^[[][^]]{{2,12}}[]] .+ · (进行中|待处理|已完成|已归档)$') THEN 'suggestedTitle 格式或状态无效' END,
+  CASE WHEN "suggestedTitle" <> '' AND known AND status_known AND "suggestedTitle" <> template THEN 'suggestedTitle 与 taxonomy 或 lifecycleStatus 不一致' END,
+  CASE WHEN len(tags) > 8 THEN 'tags 数量超过 8' END, CASE WHEN known AND status_known AND tags <> ["primaryCategoryId", "lifecycleStatus"] THEN 'tags 与 taxonomy 或 lifecycleStatus 不一致' END,
+  CASE WHEN NOT risks_ok THEN 'riskFlags 无效' END, CASE WHEN NOT reasons_ok THEN 'reasonCodes 无效' END, CASE WHEN reasons_ok AND (r1 <> c1 OR r2 <> c2) THEN 'reasonCodes 与 riskFlags 不一致' END,
+  CASE WHEN reasons_ok AND NOT list_contains("reasonCodes", 'LOW_CONFIDENCE') THEN 'reasonCodes 与 fieldConfidence 不一致' END, CASE WHEN reasons_ok AND NOT list_contains("reasonCodes", 'UNKNOWN_PROJECT') THEN 'reasonCodes 缺少 UNKNOWN_PROJECT' END,
+  CASE WHEN NOT "requiresReview" THEN 'requiresReview 违反强制复核规则' END, CASE WHEN "classifierProvider" <> '{P.PROVIDER}' THEN 'classifierProvider 无效' END, CASE WHEN "classifierVersion" <> '{P.TAXONOMY_VERSION}' THEN 'classifierVersion 无效' END,
+  CASE WHEN try_cast("createdAt" AS TIMESTAMP) IS NULL THEN 'createdAt 无效' END], lambda x: x IS NOT NULL), '；') AS errors FROM x""")
 def fx_validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A valid result with one field changed at a time, and what the contract says."""
+    """What the contract says of a valid result with one field changed at a time."""
     no, yes = F.lit(False), F.lit(True)
     base = spark.range(1).select(F.lit("node api").alias("text"))
-    r = classify.classification(dedup.reference(F.lit("x")), classify.selection(F.col("text")), classify.lifecycle(F.col("text")), no, no, yes, yes, no, curate.NOW)
-    base = base.withColumn("r", r)
-    changed = [F.struct(F.lit(k).alias("field"), classify.errors(F.col("r").withField(k, F.expr(v))).alias("e")) for k, v in MUTATIONS]
-    return base.select(F.inline(F.array(*changed))).select("field", F.array_join("e", "；").alias("errors"))
+    base = base.withColumn("r", classify.classification(dedup.reference(F.lit("x")), classify.selection(F.col("text")), classify.lifecycle(F.col("text")), no, no, yes, yes, no, curate.NOW))
+    changed = [F.struct(F.lit(i).cast("long").alias("id"), F.col("r").withField(k, F.expr(f"cast({v} as array<string>)" if v.startswith("array") else v)).alias("r")) for i, (k, v) in enumerate(MUTATIONS)]
+    return base.select(F.inline(F.array(*changed))).select("id", F.array_join(classify.errors(F.col("r")), "；").alias("errors"))
 
 
 SECRET_TEXTS = """SELECT * FROM (VALUES
@@ -408,8 +429,6 @@ def conv_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("failure IS NULL AND NOT duplicate").select(F.col("item_index").alias("conv_id"), F.col("r.primaryCategoryId").alias("category"), F.col("r.lifecycleStatus").alias("status"), F.col("r.sensitivityLevel").alias("level"), F.col("r.requiresReview").alias("review"))
 
 
-_TAXONOMY_SQL = "(VALUES " + ", ".join(f"({_q(c.id)}, {_q(c.label)}, {_q(c.object)}, {_q(c.intent)}, {_q(c.deliverable)}, {_q(c.value)})" for c in P.TAXONOMY) + ") AS x(cid, label, object, intent, deliverable, value)"
-_STATUS_SQL = "(VALUES " + ", ".join(f"({_q(k)}, {_q(v)})" for k, v in P.STATUS_LABELS.items()) + ") AS y(sid, status_label)"
 _REPORT_SQL = f"""{_CONV_SQL},
 u AS (SELECT conv_id, text FROM v), {', '.join(x.replace(' FROM f)', ' FROM u)') if x.startswith('d0 ') else x for x in _SQL_STEPS)},
 mc AS (SELECT conv_id, string_agg('"' || type || '":' || cnt, ',' ORDER BY rank) AS counts FROM (SELECT conv_id, type, rank, sum(cnt)::BIGINT AS cnt FROM (""" + " UNION ALL ".join(f"SELECT conv_id, '{k}' AS type, {i} AS rank, c{i} AS cnt FROM {_from}" for i, k in enumerate(_SQL_DETECTORS)) + f""") GROUP BY ALL HAVING sum(cnt) > 0) GROUP BY conv_id),

@@ -376,16 +376,21 @@ def brute(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]
 
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(low))
-    own = [(i, cut(t)) for i, t in items]
+    own = []
+    for i, t in items:
+        seq = cut(t)
+        n = min(window, len(seq))
+        own.append((i, n, {tuple(seq[k : k + n]) for k in range(len(seq) - n + 1)} if n else set()))
     out = []
     for doc_id, text in docs:
         words, hit, found = cut(text), set(), set()
-        for i, seq in own:
-            n = min(window, len(seq))
-            for k in range(len(seq) - n + 1) if n else ():
-                for j in range(len(words) - n + 1):
-                    if words[j : j + n] == seq[k : k + n]:
-                        hit.update(range(j, j + n))
-                        found.add(str(i))
+        at: dict[tuple, list[int]] = {}
+        for n in {n for _, n, _ in own if n}:
+            for j in range(len(words) - n + 1):
+                at.setdefault(tuple(words[j : j + n]), []).append(j)
+        for i, n, windows in own:
+            for w in windows & at.keys():
+                found.add(str(i))
+                hit.update(k for j in at[w] for k in range(j, j + n))
         out.append((doc_id, len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return out

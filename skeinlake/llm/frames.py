@@ -20,7 +20,8 @@ _OWN: dict[str, str] = {}
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets executors import this package, and keeps Arrow batches of long texts small."""
+    """Lets executors import this package, and keeps Arrow batches of long texts small. Both hold for the whole session:
+    a longer PYTHONPATH for its Python workers, and at most 2,000 rows in its Arrow batches."""
     env = spark.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -11,7 +11,6 @@ go on to their next earlier holders, in rounds that each try ``STEP`` times as
 many, until every such block is deleted or has no holder left: the result is that
 of aligning all pairs, and no line is too frequent to count. Documents of equal
 lines are one holder. All alignments are made on the documents as they came in.
-``min_words`` is kept for callers and decides nothing.
 
 Documents are ordered by id, a null id last, then by text fingerprint. Cases: a
 null text has no lines and stays null; lines without a word never pair documents
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import frames, textcore
 
-MIN_WORDS, BLOCK_WORDS = 3, 5
+BLOCK_WORDS = 5
 LAST = (1 << 63) - 1
 #: Each round tries so many times the holders of the one before.
 STEP = 8
@@ -156,7 +155,7 @@ def _open(blocks: list[dict[str, int]], gone: list[int]) -> list[dict[str, int]]
     return [blocks[k] for k in np.flatnonzero(np.searchsorted(gone, at + size) - np.searchsorted(gone, at) < size)]
 
 
-def removals(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def removals(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """ord, th and lines: the numbers, among lines that aren't empty, of each document's lines to delete."""
     with frames.scratch(docs.sparkSession):
         return frames.stored(_removals(_keyed(docs), block_words), "line-removals", outer=True)
@@ -256,7 +255,7 @@ def without_lines(text: str, gone: list[int]) -> str:
     return "\n".join(out)
 
 
-def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, more: bool = False, least_words: int = 0) -> DataFrame:
+def cleaned(docs: DataFrame, block_words: int = BLOCK_WORDS, more: bool = False, least_words: int = 0) -> DataFrame:
     """docs with the deleted lines gone from text. more: also n_lines and n_removed as the last two columns.
     least_words: rows that lost lines and hold fewer words than that afterwards go."""
     frames.ready(docs.sparkSession)
@@ -265,7 +264,7 @@ def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOC
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     i, t = f"c{low.index('doc_id')}", f"c{low.index('text')}"
     keyed = plain.withColumn("ord", F.coalesce(F.col(i).cast("long"), F.lit(LAST))).withColumn("th", F.xxhash64(F.col(t).cast("string")))
-    joined = keyed.join(removals(docs, min_words, block_words), ["ord", "th"], "left").select(*plain.columns, "lines", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    joined = keyed.join(removals(docs, block_words), ["ord", "th"], "left").select(*plain.columns, "lines", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
     out = joined.drop("lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from .redact import let
 def keyword_found(text: Column, keyword: str) -> Column:
     """An ASCII keyword as a word of its own, any other as a substring; text is in lower case."""
     if keyword.isascii() and all(c.isalnum() or c in "_-" for c in keyword):
-        return F.rlike(text, F.lit(rf"(?<![a-z0-9_]){keyword}(?![a-z0-9_])"))
+        return F.contains(text, F.lit(keyword)) & F.rlike(text, F.lit(rf"(?<![a-z0-9_]){keyword}(?![a-z0-9_])"))
     return F.contains(text, F.lit(keyword))
 
 
@@ -36,14 +38,23 @@ def selection(text: Column) -> Column:
     return let(scores, chosen)
 
 
+def _cue(text: Column, status: str, pattern: str) -> Column:
+    """Whether the pattern stands in the text. It looks around at every character, so the words in it are sought first."""
+    word = lambda h: F.rlike(text, F.lit(f"(?i){h}")) if h.isascii() else F.contains(text, F.lit(h))
+    held = reduce(or_, map(word, P.CUE_WORDS[status])) | F.rlike(text, F.lit(P.FOLDED_TO_ASCII))
+    return held & F.rlike(text, F.lit(pattern))
+
+
 def lifecycle(text: Column) -> Column:
     """The one status whose cue stands in the text; active if there is none, several or a negation."""
-    cues = [(name, F.rlike(text, F.lit(p))) for name, p in P.CUES]
-    one = sum((c.cast("int") for _, c in cues), F.lit(0)) == 1
-    status = F.lit("active")
-    for name, c in cues:
-        status = F.when(one & c, name).otherwise(status)
-    return F.when(F.rlike(text, F.lit(P.NEGATION)), "active").otherwise(status)
+    cues = F.array(*[_cue(text, name, p) for name, p in P.CUES])
+
+    def status(found: Column) -> Column:
+        one = F.size(F.filter(found, lambda x: x)) == 1
+        named = F.element_at(F.array(*[F.lit(name) for name, _ in P.CUES]), F.array_position(found, True).cast("int"))
+        return F.when(F.when(one, ~F.rlike(text, F.lit(P.NEGATION))).otherwise(False), named).otherwise("active")
+
+    return let(cues, status)
 
 
 def confidence(score: Column, tied: Column) -> Column:

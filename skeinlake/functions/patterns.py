@@ -99,6 +99,9 @@ CUES = (
     ("pending", rf"(?iu)等待|待办|稍后|{EDGE}(?:pending|todo){EDGE}"),
     ("archived", rf"(?iu)归档|不再处理|{EDGE}archived{EDGE}"),
 )
+#: Words of which a text with the cue holds one, unless it has letters outside of ASCII that (?iu) takes for s, k or i.
+CUE_WORDS = {"completed": ("已完成", "完成了", "已解决", "resolved", "finished", "done", "completed"), "pending": ("等待", "待办", "稍后", "pending", "todo"), "archived": ("归档", "不再处理", "archived")}
+FOLDED_TO_ASCII = r"[\u017F\u212A\u0130\u0131]"
 STATUS_LABELS = {"active": "进行中", "pending": "待处理", "completed": "已完成", "archived": "已归档"}
 
 # The confidence policy.

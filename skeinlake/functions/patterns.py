@@ -8,6 +8,7 @@ long input are unrolled and possessive.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from string import ascii_letters, digits
 
 SPACE = r"\t\n\x0B\f\r " + "".join(f"\\u{code}" for code in ("00A0", "1680", "2000-\\u200A", "2028", "2029", "202F", "205F", "3000", "FEFF"))
 WORD = "[A-Za-z0-9_]"
@@ -16,14 +17,15 @@ EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
 @dataclass(frozen=True)
 class Detector:
-    """type, pattern, the cheap ASCII hints of which the text must hold one (folded: compared in lower case),
-    and the name of a check on each match."""
+    """type, pattern, the cheap hints of which the text must hold one (folded: whatever the case of ASCII letters),
+    the name of a check on each match, and a quick pattern that every match holds."""
 
     type: str
     pattern: str
     hints: tuple[str, ...] = ()
     folded: bool = True
     check: str | None = None
+    needs: str | None = None
 
 
 _STEM = "(?:PASSWORD|PASSWD|PWD|API[_-]?KEY|ACCESS[_-]?TOKEN|CLIENT[_-]?SECRET|SECRET(?:[_-]?ACCESS)?[_-]?KEY)"
@@ -35,28 +37,30 @@ SECRETS = (
     Detector(
         "API_KEY",
         EDGE + "(?:sk-[A-Za-z0-9_-]{16,}|A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{16,}|npm_[A-Za-z0-9]{20,}|hf_[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{30,}|(?:sk|rk)_live_[A-Za-z0-9]{16,}|xox[baprs]-[A-Za-z0-9-]{10,})" + EDGE,
-        ("sk-", "AKIA", "ASIA", "gh", "github_pat_", "glpat-", "npm_", "hf_", "AIza", "sk_live_", "rk_live_", "xox"), folded=False,
+        ("sk-", "AKIA", "ASIA", *(f"gh{c}_" for c in "pousr"), "github_pat_", "glpat-", "npm_", "hf_", "AIza", "_live_", "xox"), folded=False,
     ),
     Detector("ACCESS_TOKEN", f"(?iu){EDGE}(?:Bearer[{SPACE}]+[A-Za-z0-9._~+/=-]{{12,}}|Basic[{SPACE}]+[A-Za-z0-9+/]{{8,}}={{0,2}})", ("bearer", "basic")),
     Detector(
         "PASSWORD_FIELD",
         f"(?iu)(?:(?<!{WORD})(?!_)(?![A-Z0-9_]*?__)(?:[A-Z0-9_]*?(?<=_))?{_STEM}|密码)[\"']?[{SPACE}]*[:=][{SPACE}]*{_VALUE}",
-        ("密码", "password", "passwd", "pwd", "api", "access", "client", "secret"),
+        ("密码", "password", "passwd", "pwd", "api", "access", "client", "secret"), needs="[:=]",
     ),
     Detector("SESSION_CREDENTIAL", f"(?iu){EDGE}(?:Cookie|Set-Cookie)[{SPACE}]*:[{SPACE}]*[^\\r\\n]+", ("cookie",)),
     Detector("CONNECTION_CREDENTIAL", f"(?iu){EDGE}[A-Z][A-Z0-9+.-]{{1,15}}://[^/{SPACE}:@]+:[^@{SPACE}/]+@[^{SPACE}]+", ("://",)),
-    Detector("CN_ID", f"{EDGE}[0-9]{{17}}[0-9Xx]{EDGE}", check="cn_id"),
-    Detector("BANK_CARD", "(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])", check="luhn"),
+    Detector("CN_ID", f"{EDGE}[0-9]{{17}}[0-9Xx]{EDGE}", check="cn_id", needs="[0-9]{17}"),
+    Detector("BANK_CARD", "(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])", check="luhn", needs="[0-9](?:[ -]?[0-9]){12}"),
 )
-ENTROPY = Detector("HIGH_ENTROPY_CANDIDATE", r"[A-Za-z0-9+\-/=_]{32,}", check="entropy")
+# Each character by itself: Java looks such a class up in a table. Only the beginning of a run is tried.
+_RUN = "[" + ascii_letters + digits + r"+\-/=_]"
+ENTROPY = Detector("HIGH_ENTROPY_CANDIDATE", r"[A-Za-z0-9+\-/=_]{32,}", check="entropy", needs=f"(?<!{_RUN}){_RUN}{{32}}")
 LEAST_DISTINCT, LEAST_ENTROPY = 10, 4.2
 SECRET_TYPES = (*(d.type for d in SECRETS), ENTROPY.type)
 
 # The privacy detectors that replace what they match.
 PRIVACY = (
     Detector("EMAIL", rf"(?iu){EDGE}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{EDGE}", ("@",)),
-    Detector("CN_MOBILE", r"(?<![0-9])(?:\+?86[- ]?)?1[3-9][0-9]{9}(?![0-9])"),
-    Detector("PHONE_NUMBER", r"(?<![0-9+])(?:\+[0-9][0-9 ().-]{5,}[0-9]|00[0-9][0-9 ().-]{5,}[0-9]|0[0-9][0-9 ().-]{5,}[0-9]|\([0-9]{2,4}\)[0-9 ().-]{4,}[0-9]|[2-9][0-9]{2}[. -][0-9]{3}[. -][0-9]{4})(?![0-9])", check="phone"),
+    Detector("CN_MOBILE", r"(?<![0-9])(?:\+?86[- ]?)?1[3-9][0-9]{9}(?![0-9])", needs="1[3-9][0-9]{9}"),
+    Detector("PHONE_NUMBER", r"(?<![0-9+])(?:\+[0-9][0-9 ().-]{5,}[0-9]|00[0-9][0-9 ().-]{5,}[0-9]|0[0-9][0-9 ().-]{5,}[0-9]|\([0-9]{2,4}\)[0-9 ().-]{4,}[0-9]|[2-9][0-9]{2}[. -][0-9]{3}[. -][0-9]{4})(?![0-9])", check="phone", needs="[0-9][0-9 ().-]{5,}[0-9]"),
 )
 # The privacy detectors that redact the whole line; for the `regex` module.
 PY_SPACE = SPACE

@@ -8,7 +8,8 @@ work grows with the number of uses; all but the line-wise path rules stay in the
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_, or_
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,8 +19,6 @@ from pyspark.sql import types as T
 
 from . import patterns as P
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 
 def mark(kind: str) -> str:
     return f"[REDACTED:{kind}]"
@@ -70,13 +69,10 @@ CHECKS = {"cn_id": cn_id, "luhn": luhn, "entropy": entropy, "phone": phone}
 
 
 def _hinted(text: Column, d: P.Detector) -> Column:
-    if not d.hints:
-        return F.rlike(text, F.lit("[0-9]")) if d.check != "entropy" else F.lit(True)
-    own = F.translate(text, UPPER, LOWER) if d.folded else text
-    found = F.lit(False)
-    for h in d.hints:
-        found = found | F.contains(own, F.lit(h))
-    return found
+    """Whether the detector may find something; costs far less than its pattern, which looks around at every character."""
+    held = lambda h: F.rlike(text, F.lit(f"(?i){h}")) if d.folded and h.lower() != h.upper() else F.contains(text, F.lit(h))
+    tests = ([F.rlike(text, F.lit(d.needs))] if d.needs else []) + ([reduce(or_, map(held, d.hints))] if d.hints else [])
+    return reduce(and_, tests)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -104,10 +100,17 @@ def _step(state: Column, d: P.Detector) -> Column:
 
 
 def _chain(text: Column, detectors: Sequence[P.Detector]) -> Column:
-    state = F.struct(F.coalesce(text, F.lit("")).alias("t"), F.array().cast("array<int>").alias("n"))
-    for d in detectors:
-        state = _step(state, d)
-    return state
+    """struct(t, n). Where no detector may find something in the text as it is, none gets to see another one, and no
+    step is taken."""
+
+    def steps(t: Column) -> Column:
+        state = F.struct(t.alias("t"), F.array().cast("array<int>").alias("n"))
+        for d in detectors:
+            state = _step(state, d)
+        nothing = F.struct(t.alias("t"), F.array(*[F.lit(0) for _ in detectors]).alias("n"))
+        return F.when(reduce(or_, [_hinted(t, d) for d in detectors]), state).otherwise(nothing)
+
+    return let(F.coalesce(text, F.lit("")), steps)
 
 
 @lru_cache(8)
